@@ -6,7 +6,7 @@ for host names with an underscore and for paths holding a bar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # scheme, authority, path with query, fragment
@@ -70,18 +70,22 @@ def fetch_key(url: Column) -> Column:
     return F.concat(origin(url), path_query(url))
 
 
-def resolve(base: Column, reference: Column) -> Column:
-    """A possibly relative reference against a base URL, dot segments removed."""
+def resolved(df: DataFrame, base: str, reference: str, name: str) -> DataFrame:
+    """Adds ``name``: a possibly relative reference against a base URL, dots removed."""
+    joined = df.withColumn("_joined", _joined(F.col(base), F.col(reference)))
+    return joined.withColumn(name, _drop_dots(F.col("_joined"))).drop("_joined")
+
+
+def _joined(base: Column, reference: Column) -> Column:
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     own_query = F.startswith(reference, F.lit("?"))
-    joined = (
+    return (
         F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
         .when(F.startswith(reference, F.lit("//")), F.concat(scheme(base), F.lit(":"), reference))
         .when(F.startswith(reference, F.lit("/")), F.concat(site(base), reference))
         .when(own_query, F.concat(site(base), path(base), reference))
         .otherwise(F.concat(site(base), folder, reference))
     )
-    return _drop_dots(joined)
 
 
 def _drop_dots(url: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitestance import config
-from sitestance.functions import match, text
+from sitestance.functions import match, rows, text
 
 ASTERISK = "*"
 
@@ -306,7 +306,7 @@ def profile(docs: DataFrame, agents: list[str] | None = None) -> DataFrame:
         ),
     )
     arbitrary = F.col("judged")[0]["readable"]
-    rows = F.transform(
+    summary = F.transform(
         "judged",
         lambda j: F.struct(
             j["agent"].alias("agent"),
@@ -322,7 +322,7 @@ def profile(docs: DataFrame, agents: list[str] | None = None) -> DataFrame:
             F.when(j["agent"] != ASTERISK, j["readable"] - arbitrary).alias("bias"),
         ),
     )
-    return judged.withColumn("agents", rows).drop("subjects", "ruled", "judged", "base")
+    return judged.withColumn("agents", summary).drop("subjects", "ruled", "judged", "base")
 
 
 def _probe(base: Column, folder: Column) -> Column:
@@ -340,12 +340,12 @@ def _carried(df: DataFrame) -> list[str]:
 
 def lines(parsed: DataFrame) -> DataFrame:
     """``robots_lines(doc_id, n, directive, value)``: one row per directive line."""
-    return parsed.select(*_carried(parsed), F.inline("tokens"))
+    return rows.inlined(parsed, _carried(parsed), "tokens", "n")
 
 
 def agent_groups(parsed: DataFrame) -> DataFrame:
     """``robots_groups(doc_id, grp, agents, rules)``: one row per group, from 1."""
-    return parsed.select(*_carried(parsed), F.posexplode("groups").alias("grp", "g")).select(
+    return rows.numbered(parsed, _carried(parsed), "groups", "grp", "g").select(
         *_carried(parsed), (F.col("grp") + 1).alias("grp"), "g.agents", "g.rules"
     )
 
@@ -354,14 +354,14 @@ def rules(parsed: DataFrame) -> DataFrame:
     """``robots_rules(doc_id, grp, pos, allow, pattern)``: one row per rule line."""
     grouped = agent_groups(parsed)
     keep = [c for c in grouped.columns if c not in ("agents", "rules")]
-    return grouped.select(*keep, F.posexplode("rules").alias("pos", "rule")).select(
+    return rows.numbered(grouped, keep, "rules", "pos", "rule").select(
         *keep, "pos", "rule.allow", "rule.pattern"
     )
 
 
 def agent_rows(profiles: DataFrame) -> DataFrame:
     """One row per document and agent."""
-    return profiles.select(*_carried(profiles), F.inline("agents"))
+    return rows.inlined(profiles, _carried(profiles), "agents", "agent")
 
 
 def agent_counts(profiles: DataFrame) -> DataFrame:
@@ -435,9 +435,8 @@ def verdicts(probes: DataFrame, documents: DataFrame, agents: list[str] | None =
 
     sets = rule_sets(documents, agents).select("doc_id", "rule_sets")
     joined = lookup_join(probes, sets, "doc_id")
-    return joined.select(
-        "doc_id", "path", F.explode(judge(F.col("path"), F.col("rule_sets"))).alias("agent")
-    )
+    denied = judge(F.col("path"), F.col("rule_sets"))
+    return rows.exploded(joined, ["doc_id", "path"], denied, "agent")
 
 
 # --- E6 helper: the dotted names of the index document --------------------------
@@ -497,3 +496,12 @@ def as_metadata(profiles: DataFrame, prefix: str = "robots.") -> Column:
     entries = F.concat(F.array(*scalars), F.coalesce(agents, empty))
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
+
+
+def raw_line_rows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n, raw)``, comments and blanks included."""
+    parsed = admit(docs).where(F.col("is_parsed"))
+    pieces = raw_lines(text.decode_text(F.col("content")))
+    return rows.numbered(parsed, _carried(parsed), pieces, "n", "raw").withColumn(
+        "n", F.col("n") + 1
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 HOT_KEYS = 64
 SALTS = 32
+# Below this many rows one task can hold them all.
+PLAIN_ROWS = 200_000
 
 _ATOMIC = (
     T.StringType, T.LongType, T.IntegerType, T.TimestampType, T.DateType, T.BooleanType,
@@ -61,6 +63,15 @@ def lookup_join(
     ).drop("_salt")
 
 
+def counted_join(
+    left: DataFrame, left_rows: int, right: DataFrame, key: str, spread: list[str]
+) -> DataFrame:
+    """Left join; keys are spread only when ``left`` has rows enough to be uneven."""
+    if left_rows <= PLAIN_ROWS:
+        return left.join(right, key, "left")
+    return lookup_join(left, right, key, spread=spread)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Mark ``df`` for broadcast only after counting at most ``max_rows`` rows of it."""
     small = df.limit(max_rows + 1).count() <= max_rows
