@@ -189,6 +189,8 @@ def first_documents(
     where the limit falls.  Earlier stretches stay whole, and only that one is
     numbered row by row.  ``orderBy().limit()`` would bring all kept rows into one task.
     """
+    if limit <= 0:
+        return captures.where(F.lit(False))
     chunked = skew.with_chunk(captures, F.col(offset), chunk_size)
     stretches = chunked.groupBy(file_no, "chunk").agg(F.count("*").alias("n"))
     files = stretches.groupBy(file_no).agg(F.sum("n").alias("n")).withColumn(

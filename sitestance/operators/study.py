@@ -107,8 +107,8 @@ def status_breakdown(profiles: DataFrame, exact: bool = False) -> DataFrame:
         profiles.rollup("crawl", "status", "content_type")
         .agg(
             F.count("*").alias("docs"),
-            quantile(size, F.lit(0.5)).cast("double").alias("p50"),
-            quantile(size, F.lit(0.95)).cast("double").alias("p95"),
+            F.round(quantile(size, F.lit(0.5)).cast("double"), 6).alias("p50"),
+            F.round(quantile(size, F.lit(0.95)).cast("double"), 6).alias("p95"),
             F.grouping_id().cast("bigint").alias("level"),
         )
     )
