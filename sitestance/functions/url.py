@@ -6,6 +6,8 @@ for host names with an underscore and for paths holding a bar.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,13 @@ def fetch_key(url: Column) -> Column:
     return F.concat(origin(url), path_query(url))
 
 
-def resolved(df: DataFrame, base: str, reference: str, name: str) -> DataFrame:
-    """Adds ``name``: a possibly relative reference against a base URL, dots removed."""
-    joined = df.withColumn("_joined", _joined(F.col(base), F.col(reference)))
-    return joined.withColumn(name, _drop_dots(F.col("_joined"))).drop("_joined")
+def resolver(base: str, reference: str, name: str) -> Callable[[DataFrame], DataFrame]:
+    """A step adding ``name``: a possibly relative reference against a base URL.
+
+    Two projections, so that the joined URL is worked out once; dots are removed.
+    """
+    joined, clean = _joined(F.col(base), F.col(reference)), _drop_dots(F.col("_joined"))
+    return lambda df: df.withColumn("_joined", joined).withColumn(name, clean).drop("_joined")
 
 
 def _joined(base: Column, reference: Column) -> Column:

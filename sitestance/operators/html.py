@@ -9,8 +9,6 @@ leaves the scan stage.
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from sitestance.functions import rows, text
 
 # Unclosed comments and scripts reach to the end of the page.
 _HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))"
 )
 # A quoted value may hold ">".  Possessive, so long tags cost no stack.
 _REST_OF_TAG = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
@@ -86,8 +84,15 @@ def _shapes(selectors: dict, fold_case: bool) -> dict:
     return shapes
 
 
-def _target(key: str, rank: int) -> Column:
-    return F.struct(F.lit(key).alias("key"), F.lit(rank).alias("rank"))
+_TARGETS = "array<struct<key:string,rank:int>>"
+
+
+def _listed(hits: list) -> list[dict]:
+    return [{"key": key, "rank": rank} for key, rank in hits]
+
+
+def _starting(value: Column):
+    return lambda s: F.startswith(value, s["start"])
 
 
 def _valued(value: Column):
@@ -98,28 +103,26 @@ def _valued(value: Column):
 
 def _hits_of_tag(t: Column, selectors: dict, fold_case: bool) -> Column:
     """``array<struct<key, rank, value>>`` for one tag."""
-    none = F.array().cast("array<struct<key:string,rank:int>>")
+    none = F.array().cast(_TARGETS)
     parts = []
     for (element, attribute, out), wanted in _shapes(selectors, fold_case).items():
         on_element = F.lit(True) if element == "*" else t["tag"] == element
         if attribute == "present":
-            targets = F.array(*[_target(*h) for h in wanted[""]])
+            targets = text.constant(_listed(wanted[""]), _TARGETS)
         elif attribute == "prefix":
-            targets = F.filter(
-                F.array(
-                    *[
-                        F.when(F.startswith(t[out], F.lit(v)), _target(*h))
-                        for v, hits in wanted.items()
-                        for h in hits
-                    ]
+            starts = [
+                {"start": v, **hit} for v, hits in wanted.items() for hit in _listed(hits)
+            ]
+            targets = F.transform(
+                F.filter(
+                    text.constant(starts, "array<struct<start:string,key:string,rank:int>>"),
+                    _starting(t[out]),
                 ),
-                lambda x: x.isNotNull(),
+                lambda s: F.struct(s["key"].alias("key"), s["rank"].alias("rank")),
             )
         else:
-            table = F.create_map(
-                *chain.from_iterable(
-                    (F.lit(v), F.array(*[_target(*h) for h in hits])) for v, hits in wanted.items()
-                )
+            table = text.constant(
+                {v: _listed(hits) for v, hits in wanted.items()}, f"map<string,{_TARGETS}>"
             )
             value = F.lower(F.btrim(t[attribute])) if fold_case else t[attribute]
             targets = F.try_element_at(table, value)

@@ -155,10 +155,11 @@ def resolve_redirects(
         f"{folder}/starts",
     )
     waiting = open_rows.count()
+    step = _hop(log, known)
     finished = []
     for hop in range(config.MAX_REDIRECTS + 1):
         outcome = _written(
-            _fetch(open_rows, waiting, log, known if hop else None), f"{folder}/hop{hop}"
+            step(open_rows, waiting, known is not None and hop > 0), f"{folder}/hop{hop}"
         )
         finished.append(outcome.where("done").select(*_RESULT))
         waiting = outcome.where("not done").count()
@@ -187,58 +188,43 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _fetch(
-    open_rows: DataFrame, rows_open: int, log: DataFrame, known: DataFrame | None
-) -> DataFrame:
-    """Look the current URL of every row up: arrived, failed, or where to go next."""
-    none = F.lit(None)
-    if known is not None:
-        shared = F.when(_is_policy_url(), F.concat("kind", F.lit(" "), u.origin(F.col("at"))))
-        results = known.select(
-            F.concat("kind", F.lit(" "), "origin").alias("known_key"),
-            F.struct("final_url", "code", "num_redirects", "error").alias("_known"),
-        )
-        open_rows = skew.counted_join(
-            open_rows.withColumn("known_key", shared), rows_open, results, "known_key", ["origin"]
-        ).drop("known_key")
-    else:
-        open_rows = open_rows.withColumn("_known", none.cast(_KNOWN_TYPE))
-    keyed = open_rows.withColumn("fetch_key", _log_key(F.col("at")))
-    joined = skew.counted_join(keyed, rows_open, log, "fetch_key", ["origin"])
-    blank = F.coalesce(F.btrim("_log.location"), F.lit("")) == ""
-    staged = joined.withColumn(
-        "state",
+def _hop(log: DataFrame, known: DataFrame | None):
+    """The step of one hop: look every row's URL up; arrived, failed or redirected.
+
+    The expressions are the same for every hop, so they are built once.
+    """
+    none = F.lit(None).cast(_KNOWN_TYPE)
+    shared = F.when(_is_policy_url(), F.concat("kind", F.lit(" "), u.origin(F.col("at"))))
+    log_key = _log_key(F.col("at"))
+    status, location = F.col("_log.status"), F.btrim("_log.location")
+    blank = F.coalesce(location, F.lit("")) == ""
+    first_state = (
         F.when(F.col("_known").isNotNull(), "known")
         .when(F.col("_log").isNull() | F.col("_log.error").isNotNull(), "failed")
-        .when(~F.coalesce(F.col("_log.status").isin(config.REDIRECT_CODES), F.lit(False)), "arrived")
+        .when(~F.coalesce(status.isin(config.REDIRECT_CODES), F.lit(False)), "arrived")
         .when(blank, "lost")
-        .otherwise("redirected"),
-    ).withColumn(
-        "reference", F.when(F.col("state") == "redirected", F.btrim("_log.location"))
+        .otherwise("redirected")
     )
-    staged = u.resolved(staged, "at", "reference", "target")
+    now = F.col("state")
+    reference = F.when(now == "redirected", location)
+    add_target = u.resolver("at", "reference", "target")
     last = F.col("num_redirects") >= config.MAX_REDIRECTS
-    refused = (F.col("state") == "redirected") & ~F.coalesce(u.is_valid(F.col("target")), F.lit(False))
+    refused = (now == "redirected") & ~F.coalesce(u.is_valid(F.col("target")), F.lit(False))
     state = (
-        F.when(last & F.col("state").isin("redirected", "lost"), "redirected")
+        F.when(last & now.isin("redirected", "lost"), "redirected")
         .when(refused, "refused")
-        .otherwise(F.col("state"))
+        .otherwise(now)
     )
     missing = F.concat(
-        F.lit("Got redirect response "), F.col("_log.status").cast("string"), F.lit(" for "),
+        F.lit("Got redirect response "), status.cast("string"), F.lit(" for "),
         F.col("url"), F.lit(" without location"),
     )
     unknown = F.concat(F.lit("unknown protocol: "), F.regexp_extract("target", "^([^:]*)", 1))
-    settled = staged.withColumn("state", state)
-    now = F.col("state")
-    return settled.select(
-        "origin", "kind", "url", "target",
+    result = [
         F.when(now == "known", F.col("_known.final_url"))
         .when(now.isin("failed", "arrived"), F.col("at"))
         .alias("final_url"),
-        F.when(now == "known", F.col("_known.code"))
-        .when(now == "arrived", F.col("_log.status"))
-        .alias("code"),
+        F.when(now == "known", F.col("_known.code")).when(now == "arrived", status).alias("code"),
         F.when(now == "known", F.col("_known.num_redirects"))
         .when(now.isin("arrived", "redirected"), F.col("num_redirects"))
         .alias("num_redirects"),
@@ -248,7 +234,27 @@ def _fetch(
         .when(now == "refused", unknown)
         .alias("error"),
         (now != "redirected").alias("done"),
-    )
+    ]
+    if known is not None:
+        results = known.select(
+            F.concat("kind", F.lit(" "), "origin").alias("known_key"),
+            F.struct("final_url", "code", "num_redirects", "error").alias("_known"),
+        )
+
+    def step(open_rows: DataFrame, rows_open: int, with_known: bool) -> DataFrame:
+        if with_known:
+            keyed = open_rows.withColumn("known_key", shared)
+            looked = skew.counted_join(keyed, rows_open, results, "known_key", ["origin"])
+        else:
+            looked = open_rows.withColumn("_known", none)
+        joined = skew.counted_join(
+            looked.withColumn("fetch_key", log_key), rows_open, log, "fetch_key", ["origin"]
+        )
+        staged = joined.withColumn("state", first_state).withColumn("reference", reference)
+        settled = add_target(staged).withColumn("state", state)
+        return settled.select("origin", "kind", "url", "target", *result)
+
+    return step
 
 
 _KNOWN_TYPE = "struct<final_url:string,code:int,num_redirects:int,error:string>"

@@ -55,13 +55,8 @@ def raw_lines(decoded: Column) -> Column:
 
 
 def _directive_names() -> Column:
-    pairs = [
-        F.lit(x)
-        for name, forms in config.DIRECTIVES.items()
-        for form in forms
-        for x in (form, name)
-    ]
-    return F.create_map(*pairs)
+    names = {form: name for name, forms in config.DIRECTIVES.items() for form in forms}
+    return text.constant(names, "map<string,string>")
 
 
 def directive_of(line: Column) -> Column:
@@ -249,7 +244,7 @@ def profile(docs: DataFrame, agents: list[str] | None = None) -> DataFrame:
     parsed = parse(docs) if "tokens" not in docs.columns else docs
     tokens, groups = F.col("tokens"), F.col("groups")
     named = F.array_distinct(F.transform(_values(tokens, "user-agent"), F.lower))
-    listed = F.array(*[F.lit(a) for a in tracked])
+    listed = text.constant(tracked, "array<string>")
 
     staged = parsed.withColumns(
         {
@@ -389,7 +384,7 @@ def rule_sets(parsed: DataFrame, agents: list[str] | None = None) -> DataFrame:
     reference agent, so a page is judged once per distinct rule set.
     """
     tracked = config.agent_keys(agents)
-    listed = F.array(*[F.lit(a) for a in tracked])
+    listed = text.constant(tracked, "array<string>")
     reference = config.REFERENCE_AGENT
     groups = F.coalesce(F.col("groups"), F.array().cast(GROUPS_TYPE))
     named = F.array_distinct(F.flatten(F.transform(groups, lambda g: g["agents"])))

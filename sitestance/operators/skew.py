@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 HOT_KEYS = 64
 SALTS = 32
+# Keys counted per sketch, and tasks that merge sketches.
+TRACKED_KEYS = 512
+MERGERS = 256
 # Below this many rows one task can hold them all.
 PLAIN_ROWS = 200_000
 
@@ -18,14 +21,27 @@ _ATOMIC = (
 
 
 def hot_keys(df: DataFrame, key: str, k: int = HOT_KEYS) -> DataFrame:
-    """The ``k`` most frequent keys: one mergeable sketch per task, ``k`` rows out.
+    """The ``k`` most frequent keys, merged in two levels.
 
-    An estimate is enough, since it only decides which keys are spread out and
-    never which rows are kept.
+    Every task keeps a sketch of bounded size, a few hundred tasks merge those, and
+    their best candidates are added up; so no single task merges all sketches.  An
+    estimate is enough, since it only decides which keys are spread out and never
+    which rows are kept.
     """
-    top = df.select(key).agg(F.expr(f"approx_top_k(`{key}`, {k})").alias("top"))
-    return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias(key)).where(
-        F.col(key).isNotNull()
+    dealt = df.select(key, F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_part"))
+    tops = dealt.groupBy("_part").agg(
+        F.expr(f"approx_top_k(`{key}`, {k}, {TRACKED_KEYS})").alias("top")
+    )
+    items = tops.select(F.explode("top").alias("t")).select(
+        F.col("t.item").alias(key), F.col("t.count").alias("_n")
+    )
+    return (
+        items.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.sum("_n").alias("_n"))
+        .orderBy(F.desc("_n"))
+        .limit(k)
+        .select(key)
     )
 
 

@@ -65,10 +65,7 @@ def s1_path_list(spark, sf_dir):
 @query
 def s3_warc_scan(spark, sf_dir):
     """Archives written from ``pages``, scanned back through ``format("warc")``."""
-    folder = archives.write(corpora.read(spark, sf_dir, "pages"), _folder(spark, "warc"))
-    warc.register(spark)
-    records = spark.read.format("warc").option("limit", archives.LIMIT).load(folder)
-    return captures.http_responses(records).select(
+    return captures.http_responses(_records(spark, sf_dir)).select(
         F.col("target").alias("url"),
         *_long("http_status", "full_length"),
         "decode_status",
@@ -77,6 +74,59 @@ def s3_warc_scan(spark, sf_dir):
     )
 
 
+def _records(spark, sf_dir) -> DataFrame:
+    folder = archives.write(corpora.read(spark, sf_dir, "pages"), _folder(spark, "warc"))
+    warc.register(spark)
+    return spark.read.format("warc").option("limit", archives.LIMIT).load(folder)
+
+
+@query
+def s4_record_types(spark, sf_dir):
+    """All records of the archives by type, and how many are HTTP responses."""
+    records = _records(spark, sf_dir)
+    kept = captures.http_responses(records).groupBy("type").agg(F.count("*").alias("responses"))
+    counted = records.groupBy("type").agg(F.count("*").alias("n"))
+    return counted.join(kept, "type", "left").select(
+        "type", "n", F.coalesce("responses", F.lit(0)).cast("bigint").alias("responses")
+    )
+
+
+@query
+def s5_statuses(spark, sf_dir):
+    """Responses of every status are kept."""
+    kept = captures.http_responses(_records(spark, sf_dir))
+    return kept.groupBy(F.col("http_status").cast("bigint").alias("status")).agg(
+        F.count("*").alias("n")
+    )
+
+
+@query
+def s10_verbatim_headers(spark, sf_dir):
+    """Literal header blocks of the response and of the request that belongs to it."""
+    kept = captures.http_responses(_records(spark, sf_dir))
+    return kept.select(
+        F.col("target").alias("url"),
+        F.md5("http_block").alias("response_headers_md5"),
+        F.md5(captures.paired_request()).alias("request_headers_md5"),
+    )
+
+
+@query
+def s11_decoding(spark, sf_dir):
+    """How the bodies were decoded, and how many bytes came out."""
+    kept = captures.http_responses(_records(spark, sf_dir))
+    return kept.groupBy("decode_status").agg(
+        F.count("*").alias("n"), F.sum("full_length").alias("bytes")
+    )
+
+
+@query
+def s13_record_counters(spark, sf_dir):
+    """The scan's own counters per ten-second bucket."""
+    counted = captures.record_counters(_records(spark, sf_dir))
+    return counted.select(_millis("bucket").alias("bucket"), "scope", *_long("n"))
+
+
 @query
 def s3_warc_path_scan(spark, sf_dir):
     """The same records, read from a table of paths; lengths add up to the file size."""
@@ -111,10 +161,7 @@ def s6_header_groups(spark, sf_dir):
 @query
 def s7_capture_columns(spark, sf_dir):
     """Status, time, file and offset of every response as multimap entries."""
-    folder = archives.write(corpora.read(spark, sf_dir, "pages"), _folder(spark, "warc"))
-    warc.register(spark)
-    records = spark.read.format("warc").option("limit", archives.LIMIT).load(folder)
-    found = captures.capture_columns(captures.http_responses(records))
+    found = captures.capture_columns(captures.http_responses(_records(spark, sf_dir)))
     entry = lambda key: F.try_element_at("metadata", F.lit(key))[0]
     return found.select(
         F.col("target").alias("url"),
@@ -551,10 +598,11 @@ def _starts(spark, sf_dir) -> DataFrame:
 
 @query
 def f4_work_list(spark, sf_dir):
-    """Origins still to fetch; those that some page with an odd number names are fresh."""
+    """Origins still to fetch: those without a robots.txt answered in the log."""
+    log = corpora.fetches(spark, sf_dir)
+    fresh = policy.with_origin(log.where((F.col("kind") == "robots") & (F.col("status") == 200)))
     pages = corpora.read(spark, sf_dir, "pages")
-    fresh = policy.with_origin(pages.where(F.col("page_id") % 2 == 1)).select("origin")
-    return policy.work_list(pages.select("url"), fresh)
+    return policy.work_list(pages.select("url"), fresh.select("origin"))
 
 
 def _requests(spark, sf_dir) -> DataFrame:

@@ -342,6 +342,23 @@ def queries() -> dict[str, str]:
         f"SELECT url, CAST({_WARC_STATUS} AS BIGINT) AS http_status, CAST(strlen(html) AS BIGINT) AS full_length,"
         f" {_WARC_KEPT} AS decode_status, md5(encode(html)[1:{archives.LIMIT}]) AS content_md5, true AS has_length FROM pages"
     )
+    sql["s4_record_types"] = """SELECT 'warcinfo' AS type, CAST(4 AS BIGINT) AS n, CAST(0 AS BIGINT) AS responses
+      UNION ALL SELECT 'request', count(*), 0 FROM pages UNION ALL SELECT 'response', count(*), count(*) FROM pages"""
+    sql["s5_statuses"] = f"SELECT CAST({_WARC_STATUS} AS BIGINT) AS status, count(*) AS n FROM pages GROUP BY 1"
+    crlf = "chr(13) || chr(10)"
+    sql["s10_verbatim_headers"] = f"""SELECT url, md5('HTTP/1.1 ' || CASE WHEN page_id % 7 = 0 THEN '404 Not Found' ELSE '200 OK' END || {crlf}
+      || 'Content-Type: text/html' || {crlf} || CASE WHEN page_id % 3 = 0 THEN 'Content-Encoding: gzip' || {crlf}
+      WHEN page_id % 5 = 0 THEN 'Content-Encoding: x-unknown' || {crlf} ELSE '' END || {crlf}) AS response_headers_md5,
+      md5('GET /' || page_id || ' HTTP/1.1' || {crlf} || 'Host: ex' || {crlf} || {crlf}) AS request_headers_md5 FROM pages"""
+    sql["s11_decoding"] = (
+        f"SELECT {_WARC_KEPT} AS decode_status, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1"
+    )
+    sql["s13_record_counters"] = f"""SELECT 1695289670000 AS bucket, scope, CAST(n AS BIGINT) AS n FROM (
+      SELECT 'warc_skipped_record_of_type_warcinfo' AS scope, 4 AS n
+      UNION ALL SELECT 'warc_skipped_record_of_type_request', count(*) FROM pages
+      UNION ALL SELECT 'warc_http_response_record', count(*) FROM pages UNION ALL SELECT 'fetched', count(*) FROM pages
+      UNION ALL SELECT 'status_' || {_WARC_STATUS}, count(*) FROM pages GROUP BY 1
+      UNION ALL SELECT 'bytes_fetched', sum(least(strlen(html), {archives.LIMIT})) FROM pages)"""
     sql["s3_warc_path_scan"] = "SELECT 2 * count(*) + 4 AS records, true AS complete FROM pages"
     multimap = "SELECT page_id, lower(name) AS name, string_agg(value, '|' ORDER BY n) AS values FROM hdr GROUP BY ALL"
     sql["s6_header_map"] = _with(HEADERS) + multimap
@@ -459,9 +476,9 @@ pq AS (SELECT page_id AS doc_id, {PATH} AS path FROM pages)"""
         f"SELECT page_id, {_BASE} || '/robots.txt' AS robots_url, {_BASE} || '/.well-known/tdmrep.json' AS tdmrep_url FROM pages"
     )
     sql["f4_work_list"] = (
-        f"SELECT {_ORIGIN} AS origin, min({_BASE} || '/robots.txt') AS robots_url,"
+        _with(LOG) + f"SELECT {_ORIGIN} AS origin, min({_BASE} || '/robots.txt') AS robots_url,"
         f" min({_BASE} || '/.well-known/tdmrep.json') AS tdmrep_url FROM pages GROUP BY 1"
-        " HAVING count(*) FILTER (page_id % 2 = 1) = 0"
+        f" HAVING {_ORIGIN.replace('url', 'any_value(url)')} NOT IN (SELECT {_ORIGIN} FROM log WHERE kind = 'robots' AND status = 200)"
     )
     sql["f5_cache_hits"] = """WITH RECURSIVE m AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
       UNION ALL SELECT user_id, min(e.ts) FROM (SELECT m.user_id, e.ts FROM m JOIN events e

@@ -34,8 +34,6 @@ def test_domains_move_no_page(spark, sf_dir):
 def test_no_pairing_and_no_python(spark, sf_dir, name):
     text = plan(catalog.CATALOG[name](spark, sf_dir))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "SinglePartition"):
-        if word == "SinglePartition" and "approx_top_k" in text:
-            continue
         assert word not in text, (name, word)
 
 

@@ -38,7 +38,7 @@ def test_references_against_a_base(spark):
         ("http://a/b/c", "?q", "http://a/b/c?q"), ("http://a/b", "https://z/../w?x", "https://z/w?x"),
     ]
     df = spark.createDataFrame(cases, "base string, ref string, expected string")
-    for r in url.resolved(df, "base", "ref", "found").collect():
+    for r in url.resolver("base", "ref", "found")(df).collect():
         assert r["found"] == r["expected"], r
 
 

@@ -7,6 +7,7 @@ from sitestance.operators import robots
 from pyspark.sql import functions as F
 
 BAN = "User-agent: *\nDisallow: /\n"
+# Inputs and the results they must have.
 CASES = {
     1: "User-agent: *\nDisallow: /wp-admin/\nAllow: /wp-admin/admin-ajax.php\nAllow: /wp-content/uploads/\n\n"
     "User-agent: ChatGPT-User\nDisallow: /\nUser-agent: GPTBot\nDisallow: /\nUser-agent: CCBot\nDisallow: /\n"
