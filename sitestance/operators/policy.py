@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitestance import config
@@ -148,21 +148,27 @@ def resolve_redirects(
     spark = fetches.sparkSession
     folder = f"{shared_dir(spark)}/redirects-{uuid.uuid4().hex}"
     log = _written(latest(fetches), f"{folder}/log")
+    counted = Observation()
     open_rows = _written(
         starts.select(
             "origin", "kind", "url", F.col("url").alias("at"), F.lit(0).alias("num_redirects")
         ),
         f"{folder}/starts",
+        counted,
     )
-    waiting = open_rows.count()
+    waiting = counted.get["n"]
     step = _hop(log, known)
     finished = []
     for hop in range(config.MAX_REDIRECTS + 1):
+        counted = Observation()
         outcome = _written(
-            step(open_rows, waiting, known is not None and hop > 0), f"{folder}/hop{hop}"
+            step(open_rows, waiting, known is not None and hop > 0),
+            f"{folder}/hop{hop}",
+            counted,
+            F.count_if(~F.col("done")),
         )
         finished.append(outcome.where("done").select(*_RESULT))
-        waiting = outcome.where("not done").count()
+        waiting = counted.get["n"]
         if hop == config.MAX_REDIRECTS or not waiting:
             break
         open_rows = outcome.where("not done").select(
@@ -182,9 +188,18 @@ def resolve_redirects(
 _RESULT = ["origin", "kind", "url", "final_url", "code", "num_redirects", "error"]
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    """Write a table to the shared folder and go on from there."""
-    df.write.parquet(folder)
+def _written(
+    df: DataFrame,
+    folder: str,
+    counted: Observation | None = None,
+    count: Column | None = None,
+) -> DataFrame:
+    """Write a table to the shared folder, counting rows on the way, and go on from there."""
+    if counted is not None:
+        number = F.count(F.lit(1)) if count is None else count
+        df.observe(counted, number.alias("n")).write.parquet(folder)
+    else:
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

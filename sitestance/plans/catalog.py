@@ -344,12 +344,9 @@ def m4_comma_split(spark, sf_dir):
 
 @query
 def m5_directives(spark, sf_dir):
-    values = html.values_of(config.DIRECTIVE_KEY)
-    return (
-        _refined(spark, sf_dir)
-        .select("page_id", values.alias("directives"))
-        .where(F.col("directives").isNotNull())
-        .select("page_id", _joined("directives"))
+    per_key = rows.inlined(_refined(spark, sf_dir), ["page_id"], "annotations", "key")
+    return per_key.where(F.col("key") == config.DIRECTIVE_KEY).select(
+        "page_id", F.array_join("values", "|").alias("directives")
     )
 
 
@@ -879,10 +876,10 @@ def q7_size_buckets(spark, sf_dir):
 @query
 def q8_by_label(spark, sf_dir):
     """Pages that reserve their content, by crawl and category."""
-    pages = metadata.with_host(_refined(spark, sf_dir))
-    labelled = metadata.with_label(pages, corpora.labels(spark, sf_dir))
-    reserved = labelled.where(F.size(F.coalesce(html.values_of("parse.meta.tdm-reservation"), F.array().cast("array<string>"))) > 0)
-    return study.by_dimension(reserved, "crawl", "label")
+    keys = html.annotation_keys(_refined(spark, sf_dir), "crawl", "url")
+    reserved = metadata.with_host(keys.where(F.col("key") == "parse.meta.tdm-reservation"))
+    labelled = metadata.with_label(reserved, corpora.labels(spark, sf_dir))
+    return study.by_dimension(labelled, "crawl", "label")
 
 
 @query
