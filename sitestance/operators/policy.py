@@ -83,10 +83,11 @@ def cache_hits(
     ).first()["d"]
     rounds = int((span or 0) // ttl_days) + 1
     spark = requests.sparkSession
+    hot = skew.hot_keys(narrow, key)
     state = narrow.groupBy(key).agg(F.min(ts).alias("m1"))
     for n in range(2, rounds + 1):
         earlier = [f"m{i}" for i in range(1, n)]
-        joined = skew.lookup_join(narrow, state, key, "inner", spread=[row_id])
+        joined = skew.lookup_join(narrow, state, key, "inner", spread=[row_id], hot=hot)
         after = F.when(F.col(ts) >= F.col(f"m{n - 1}") + ttl, F.col(ts))
         state = joined.groupBy(key).agg(
             *[F.max(m).alias(m) for m in earlier], F.min(after).alias(f"m{n}")
@@ -95,7 +96,7 @@ def cache_hits(
             spark.sparkContext.setCheckpointDir(shared_dir(spark))
             state = state.checkpoint()
     spans = F.array(*[F.col(f"m{n}") for n in range(1, rounds + 1)])
-    flagged = skew.lookup_join(narrow, state, key, spread=[row_id])
+    flagged = skew.lookup_join(narrow, state, key, spread=[row_id], hot=hot)
     at_miss = flagged.where(F.array_contains(spans, F.col(ts)))
     # Of requests at the very same time the first one is the miss.
     misses = at_miss.groupBy(key, ts).agg(F.min(row_id).alias(row_id)).select(

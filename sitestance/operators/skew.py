@@ -20,13 +20,14 @@ _ATOMIC = (
 )
 
 
-def hot_keys(df: DataFrame, key: str, k: int = HOT_KEYS) -> DataFrame:
-    """The ``k`` most frequent keys, merged in two levels.
+def hot_keys(df: DataFrame, key: str, k: int = HOT_KEYS) -> list:
+    """At most ``k`` of the most frequent keys, merged in two levels.
 
     Every task keeps a sketch of bounded size, a few hundred tasks merge those, and
     their best candidates are added up; so no single task merges all sketches.  An
     estimate is enough, since it only decides which keys are spread out and never
-    which rows are kept.
+    which rows are kept.  The list becomes part of the plan, so both sides of a join
+    spread the same keys even when a lost executor makes Spark work a side out again.
     """
     dealt = df.select(key, F.pmod(F.spark_partition_id(), F.lit(MERGERS)).alias("_part"))
     tops = dealt.groupBy("_part").agg(
@@ -35,14 +36,14 @@ def hot_keys(df: DataFrame, key: str, k: int = HOT_KEYS) -> DataFrame:
     items = tops.select(F.explode("top").alias("t")).select(
         F.col("t.item").alias(key), F.col("t.count").alias("_n")
     )
-    return (
+    best = (
         items.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.sum("_n").alias("_n"))
         .orderBy(F.desc("_n"))
         .limit(k)
-        .select(key)
     )
+    return [row[key] for row in best.collect()]
 
 
 def lookup_join(
@@ -52,31 +53,28 @@ def lookup_join(
     how: str = "left",
     salts: int = SALTS,
     spread: list[str] | None = None,
+    hot: list | None = None,
 ) -> DataFrame:
     """Join many ``left`` rows to the one ``right`` row with the same key.
 
     The most frequent keys of ``left`` are spread over ``salts`` partitions and
     their (at most ``HOT_KEYS``) ``right`` rows are copied to each.  Rows without a
     key are spread too.  Whether the small side is broadcast is left to the size
-    check of the optimizer, at run time as well.
+    check of the optimizer, at run time as well.  ``hot`` takes the keys when the
+    caller has them already.
     """
     names = spread or [
         f.name for f in left.schema if isinstance(f.dataType, _ATOMIC) and f.name != key
-    ]
-    hot = hot_keys(left, key).withColumn("_hot", F.lit(True))
-    marker = F.broadcast(hot)  # at most HOT_KEYS rows
+    ] or [key]
+    hot = hot_keys(left, key) if hot is None else hot
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     draw = F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(salts)).cast("int")
-    salted_left = left.join(marker, key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot") | F.col(key).isNull(), draw).otherwise(F.lit(0)),
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    salted_left = left.withColumn(
+        "_salt", F.when(is_hot | F.col(key).isNull(), draw).otherwise(F.lit(0))
     )
-    salted_right = right.join(marker, key, "left").withColumn("_salt", F.explode(copies))
-    return salted_left.drop("_hot").join(
-        salted_right.drop("_hot"), [key, "_salt"], how
-    ).drop("_salt")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(copies))
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
 def counted_join(
