@@ -4,14 +4,15 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from sitestance.plans import catalog, oracle
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+QUERIES = catalog.CATALOG
+SQL = oracle.queries()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,11 @@ def db(sf_dir):
     return connection
 
 
+def test_entry_has_all_queries():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
 def test_only_the_watermarked_stream_has_no_counterpart():
     assert set(QUERIES) - set(SQL) == {"s13_stream_counters"} and not set(SQL) - set(QUERIES)
 
