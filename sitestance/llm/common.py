@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,15 +58,17 @@ def look_up(
     how: str = "left",
     salts: int = SALTS,
     most: int = BROADCAST_ROWS,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Join many ``rows`` to the one row of ``table`` with the same keys (null equals null).
 
-    ``table`` is counted first and sent to every executor if it has at most ``most`` rows.
+    ``table`` is counted first and sent to every executor if it has at most ``most`` rows
+    (or values, where rows hold arrays and ``weight`` counts them).
     Otherwise both sides are shuffled, every key over ``salts`` partitions, drawn from the
     columns ``spread`` of ``rows``; so a key with a third of all rows stays even.  Both
     ways give the same rows.
     """
-    if table.limit(most + 1).count() <= most:
+    if (table.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0) <= most:
         other = F.broadcast(_renamed(table, keys))
         return rows.join(other, _same(keys), how).drop(*[f"_k_{k}" for k in keys])
     salted = rows.withColumn("_salt", salt_of(*[F.col(c) for c in spread], salts=salts))
@@ -82,6 +85,11 @@ def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where ``body`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_sums(values: Column, block: int = 128) -> Column:
     """Sums of the first 1, 2, … values of an array column of longs.
 
@@ -91,26 +99,29 @@ def running_sums(values: Column, block: int = 128) -> Column:
     none = F.array().cast("array<bigint>")
 
     def fold(array: Column) -> Column:
-        return F.aggregate(
-            array,
-            none,
-            lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x)),
-        )
+        def step(done: Column, x: Column) -> Column:
+            return F.concat(done, F.array(x + F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))))
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")),
-        lambda b: fold(F.slice(values, b * block + 1, F.lit(block))),
-    )
-    totals = fold(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    lifted = F.flatten(
-        F.transform(
-            blocks,
-            lambda b, i: F.transform(
-                b, lambda x: x + F.when(i == 0, F.lit(0)).otherwise(F.element_at(totals, F.greatest(i, F.lit(1))))
-            ),
+        return F.aggregate(array, none, step)
+
+    def cut(array: Column) -> Column:
+        last = F.floor((F.size(array) - 1) / block).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda b: fold(F.slice(array, b * block + 1, F.lit(block)))
         )
-    )
-    return F.when(F.size(values) > 0, lifted).otherwise(none)
+
+    def lift(blocks: Column) -> Column:
+        def add(totals: Column) -> Column:
+            def before(i: Column) -> Column:
+                return F.when(i == 0, F.lit(0)).otherwise(F.element_at(totals, F.greatest(i, F.lit(1))))
+
+            return F.flatten(
+                F.transform(blocks, lambda b, i: let(before(i), lambda y: F.transform(b, lambda x: x + y)))
+            )
+
+        return let(fold(F.transform(blocks, lambda b: F.element_at(b, -1))), add)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), lift)).otherwise(none))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

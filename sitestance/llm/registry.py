@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitestance.llm import simhash
+from sitestance.llm import line_frequency, mixing, secrets, simhash
 from sitestance.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digest(read(spark, sf_dir, "documents"))
+def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(read(spark, sf_dir, table))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_simhash,)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    "op2_line_frequency": _over("documents", line_frequency.digest),
+    "op4_secrets": _over("documents", secrets.digest),
+    "op8_simhash": _over("documents", simhash.digest),
+    "op10_mixing": _over("documents", mixing.mix),
+}
+ORACLE: dict[str, str] = {
+    "op4_secrets": secrets.ORACLE_SQL,
+    "op10_mixing": mixing.ORACLE_SQL,
+}
