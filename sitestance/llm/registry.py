@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitestance.llm import line_frequency, mixing, secrets, simhash
+from sitestance.llm import line_frequency, mixing, packing, secrets, sharding, simhash
 from sitestance.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,9 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op2_line_frequency": _over("documents", line_frequency.digest),
+    "op3_sharding": _over("documents", sharding.assign),
     "op4_secrets": _over("documents", secrets.digest),
+    "op6_packing": _over("documents", packing.pack),
     "op8_simhash": _over("documents", simhash.digest),
     "op10_mixing": _over("documents", mixing.mix),
 }
