@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitestance.llm import line_frequency, mixing, packing, secrets, sharding, simhash
+from sitestance.llm import (
+    line_frequency,
+    minhash,
+    mixing,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    site_tree,
+    suffix_dedup,
+    toxicity,
+)
 from sitestance.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +27,20 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(read(spark, sf_dir, table))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_minhash": _over("documents", minhash.digest),
     "op2_line_frequency": _over("documents", line_frequency.digest),
     "op3_sharding": _over("documents", sharding.assign),
     "op4_secrets": _over("documents", secrets.digest),
+    "op5_toxicity": op5_toxicity,
     "op6_packing": _over("documents", packing.pack),
+    "op7_site_tree": _over("pages", site_tree.extract),
     "op8_simhash": _over("documents", simhash.digest),
+    "op9_suffix_dedup": _over("documents", suffix_dedup.dedup),
     "op10_mixing": _over("documents", mixing.mix),
 }
 ORACLE: dict[str, str] = {
