@@ -11,10 +11,13 @@ find their place by their number among the rests of their length.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,24 +48,39 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a chunk: by the same vocabulary as ranks where it lies beside the tokenizer.
+
+    Both give the same ids; ranks need no offsets and take a chunk several times faster.
+    """
+    ranks = Path(path).with_suffix(".tiktoken")
+    if not ranks.exists():
+        return lambda chunk: _tokenizer(path).encode(chunk, add_special_tokens=False).ids
+    from public_tokenizers import PATTERN
+    from tiktoken import Encoding
+
+    lines = (line.split() for line in ranks.read_bytes().splitlines() if line)
+    table = {base64.b64decode(a): int(b) for a, b in lines}
+    return Encoding("packing", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+
 class _Ids(dict):
     """Ids of a chunk as little-endian 32-bit numbers, remembered within a bound."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encode = tokenizer.encode
+        self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = ids
+        ids = array("I", self.encode(chunk)).tobytes()
+        if len(self) < REMEMBERED:
+            self[chunk] = ids
         return ids
 
 
 @cache
 def _remembered(path: str) -> _Ids:
-    return _Ids(_tokenizer(path))
+    return _Ids(_encoder(path))
 
 
 @cache
