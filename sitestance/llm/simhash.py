@@ -209,12 +209,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def _single_rows(left: DataFrame, members: DataFrame) -> DataFrame:
     """One row for each id; of rows without id those of groups without any, one per text."""
     with_id = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    nameless = members.where("doc_id is null and component_id is null").select("fp").distinct()
+    name = fresh(left, "_fp")
+    nameless = members.where("doc_id is null and component_id is null").select(F.col("fp").alias(f"{name}_"))
+    nameless = nameless.distinct()
     if nameless.isEmpty():
         return with_id
-    name = fresh(left, "_fp")
     free = left.where("doc_id is null")
     prints = F.udf(lambda t: int.from_bytes(fingerprint(t), "big", signed=True), "bigint")
     tagged = free.withColumn(name, prints("text")).dropDuplicates([name])
-    kept = tagged.join(nameless, F.col(name) == F.col("fp"), "left_semi").drop(name)
+    kept = tagged.join(nameless, F.col(name) == F.col(f"{name}_"), "left_semi").drop(name)
     return with_id.unionByName(kept)
