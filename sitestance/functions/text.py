@@ -12,7 +12,7 @@ from sitestance.config import ENTITIES
 # A line ends at any of these.
 LINE_BREAKS = "[\n\r\u0085\u2028\u2029]"
 
-_REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+_REFERENCE = r"&(?:#0*[0-9]{1,8}|#[xX]0*[0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
 
 
 def constant(data: dict | list, schema: str) -> Column:

@@ -41,7 +41,7 @@ def port(url: Column) -> Column:
 def is_valid(url: Column) -> Column:
     """Known protocol, as a URL object would require it."""
     return scheme(url).isin(*_DEFAULT_PORTS) & F.coalesce(
-        F.regexp_extract(authority(url), r":([^\]]*)$", 1).rlike(r"^[0-9]{0,5}$"), F.lit(False)
+        F.regexp_extract(authority(url), r":([^\]]*)$", 1).rlike(r"^[0-9]*$"), F.lit(False)
     )
 
 
@@ -95,7 +95,7 @@ def _joined(base: Column, reference: Column) -> Column:
 
 def _drop_dots(url: Column) -> Column:
     """Remove ``.`` and ``..`` segments of the path with a fold over its segments."""
-    segments = F.split(F.substring(path(url), 2, 1_000_000), "/", -1)
+    segments = F.split(path(url).substr(F.lit(2), F.length(path(url))), "/", -1)
     last = F.element_at(segments, -1)
     kept = F.aggregate(
         segments,

@@ -77,9 +77,9 @@ def capture_columns(captures: DataFrame) -> DataFrame:
         ]
     )
     fixed = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
-    return captures.withColumn(
-        "metadata", F.map_concat(fixed, header_map(F.col("headers"), "protocol."))
-    )
+    # A header may be named like a capture field; the field counts.
+    others = F.map_filter(header_map(F.col("headers"), "protocol."), lambda k, _: ~k.isin(*entries))
+    return captures.withColumn("metadata", F.map_concat(fixed, others))
 
 
 def paired_request() -> Column:

@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 from sitestance import config
 from sitestance.functions import rows, text
 
-# Unclosed comments and scripts reach to the end of the page.
+# Unclosed comments and scripts reach to the end of the page.  A title or text area is
+# matched first and put back, since nothing in it opens a comment.
 _HIDDEN = (
-    r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z))"
+    r"(?is)(<(title|textarea)\b.*?(?:</\2\s*+>|\z))|<(?:!--.*?(?:-->|\z)"
+    r"|script\b.*?(?:</script\s*+>|\z)|style\b.*?(?:</style\s*+>|\z))"
 )
 # A quoted value may hold ">".  Possessive, so long tags cost no stack.
 _REST_OF_TAG = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
-_TAGS = (
-    r"(?is)<(?:(?:meta|link|html)(?=[\s/>])"
-    r"|a(?=\s[^>]*creativecommons)"
-    r"|[a-z][^\s/>]*(?=\s[^>]*\b(?:rel|property)\s*=))" + _REST_OF_TAG
+# Every tag once, in linear time; which of them count is asked of each on its own.
+_TAGS = r"(?is)<[a-z][^\s/<>]*+" + _REST_OF_TAG
+_TELLING = (
+    r"(?is)^<(?:meta|link|html)[\s/>]|^<a\s.*creativecommons|^<[^\s/<>]++\s.*\b(?:rel|property)\s*+="
+)
+# A name starts where the character before cannot belong to one.
+_ATTRIBUTE = (
+    r"""(?s)(?<![^\s"'<>/=])([^\s"'<>/=]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 )
-_ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _READ = ["name", "property", "http-equiv", "rel", "type", "content", "href", "lang"]
 
 ANNOTATION_TYPE = "array<struct<key:string,values:array<string>>>"
@@ -34,7 +39,7 @@ ANNOTATION_TYPE = "array<struct<key:string,values:array<string>>>"
 
 def visible(html: Column) -> Column:
     """Page source without comments, scripts and styles."""
-    return F.regexp_replace(html, _HIDDEN, "")
+    return F.regexp_replace(html, _HIDDEN, "$1")
 
 
 def _unquoted(value: Column) -> Column:
@@ -66,7 +71,8 @@ def tags_of(source: Column) -> Column:
 
         return F.struct(t["tag"].alias("tag"), *[read(a).alias(a) for a in _READ])
 
-    found = F.regexp_extract_all(source, F.lit(_TAGS), F.lit(0))
+    every = F.regexp_extract_all(source, F.lit(_TAGS), F.lit(0))
+    found = F.filter(every, lambda tag: tag.rlike(_TELLING))
     return F.transform(F.transform(found, one), columns)
 
 
@@ -139,11 +145,12 @@ def _text_hits(source: Column, selectors: dict) -> list[Column]:
         for rank, (element, attribute, _, _) in enumerate(options):
             if attribute != "text":
                 continue
-            inner = F.regexp_extract(
-                source, rf"(?is)<{element}(?:\s[^>]*)?>(.*?)</{element}\s*>", 1
-            )
+            # The first start decides; if nothing ends it, no later one is ended either.
+            whole = rf"(?is)<{element}(?:\s(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)?>(.*?)(</{element}\s*+>|\z)"
+            ended = F.regexp_extract(source, whole, 2) != ""
+            inner = F.when(ended, F.regexp_extract(source, whole, 1)).otherwise("")
             # Only an element holding plain text keeps its "<" signs.
-            bare = inner if element == "title" else F.regexp_replace(inner, r"(?s)<[^>]*>", "")
+            bare = inner if element == "title" else F.regexp_replace(inner, r"(?s)<[^<>]*+>", "")
             value = text.squeeze(bare)
             hits.append(
                 F.struct(

@@ -9,7 +9,6 @@ from sitestance import config
 from sitestance.functions import text, url
 from sitestance.operators import captures, skew
 
-SUFFIX_DEPTH = 5
 SUFFIX_ROWS = 50_000
 
 
@@ -19,22 +18,20 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def with_domain(
-    pages: DataFrame, suffixes: DataFrame, depth: int = SUFFIX_DEPTH
+    pages: DataFrame, suffixes: DataFrame, depth: int | None = None
 ) -> DataFrame:
     """M2: the label before the longest public suffix, plus that suffix.
 
     ``suffixes(suffix, is_wildcard, is_exception)`` holds the rules without ``*.``
-    and ``!``.  Each of the last ``depth`` stretches of the host is looked up, so
+    and ``!``; its deepest rule gives ``depth``.  Each of the last ``depth`` stretches of the host is looked up, so
     the pages are never shuffled and a host with a third of all rows costs nothing
     extra.  The table's size is checked before it is broadcast.
     """
-    guarded = suffixes.withColumn(
-        "suffix",
-        F.when(F.size(F.split("suffix", r"\.")) <= depth, F.col("suffix")).otherwise(
-            F.raise_error(F.lit(f"suffix rule deeper than {depth} labels"))
-        ),
-    )
-    flags = guarded.groupBy("suffix").agg(
+    if depth is None:
+        labels = F.size(F.split("suffix", r"\.", -1))
+        # The look-ups need one rung at least, two for their greatest().
+        depth = max(2, suffixes.agg(F.max(labels)).first()[0] or 0)
+    flags = suffixes.groupBy("suffix").agg(
         F.bool_or(~F.col("is_wildcard") & ~F.col("is_exception")).alias("plain"),
         F.bool_or("is_wildcard").alias("wild"),
         F.bool_or("is_exception").alias("exempt"),

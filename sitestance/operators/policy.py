@@ -68,7 +68,7 @@ def cache_hits(
     row_id: str = "page_id",
     ttl_days: int = config.CACHE_TTL_DAYS,
 ) -> DataFrame:
-    """adds ``cached`` under a write-based time to live.
+    """adds ``cached`` under a write-based time to live; NULL without a key.
 
     A miss opens a span of ``ttl_days``; the next miss is the first request after it.
     Misses of one key are therefore at least a span apart, so round *n* finds the
@@ -103,7 +103,7 @@ def cache_hits(
         row_id, F.lit(False).alias("cached")
     )
     return requests.join(misses, row_id, "left").withColumn(
-        "cached", F.coalesce("cached", F.lit(True))
+        "cached", F.when(F.col(key).isNotNull(), F.coalesce("cached", F.lit(True)))
     )
 
 

@@ -12,7 +12,8 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT = 4096
+# Bodies are read whole.
+LIMIT = -1
 _BREAK = b"\r\n"
 
 

@@ -7,7 +7,7 @@ and rule priority as ``arg_max`` over all matching rules.
 from __future__ import annotations
 
 from sitestance import config
-from sitestance.plans import archives, corpora
+from sitestance.plans import corpora
 from sitestance.plans.catalog import annotation_query_names
 
 
@@ -340,7 +340,7 @@ def queries() -> dict[str, str]:
     )
     sql["s3_warc_scan"] = (
         f"SELECT url, CAST({_WARC_STATUS} AS BIGINT) AS http_status, CAST(strlen(html) AS BIGINT) AS full_length,"
-        f" {_WARC_KEPT} AS decode_status, md5(encode(html)[1:{archives.LIMIT}]) AS content_md5, true AS has_length FROM pages"
+        f" {_WARC_KEPT} AS decode_status, md5(encode(html)) AS content_md5, true AS has_length FROM pages"
     )
     sql["s4_record_types"] = """SELECT 'warcinfo' AS type, CAST(4 AS BIGINT) AS n, CAST(0 AS BIGINT) AS responses
       UNION ALL SELECT 'request', count(*), 0 FROM pages UNION ALL SELECT 'response', count(*), count(*) FROM pages"""
@@ -358,7 +358,7 @@ def queries() -> dict[str, str]:
       UNION ALL SELECT 'warc_skipped_record_of_type_request', count(*) FROM pages
       UNION ALL SELECT 'warc_http_response_record', count(*) FROM pages UNION ALL SELECT 'fetched', count(*) FROM pages
       UNION ALL SELECT 'status_' || {_WARC_STATUS}, count(*) FROM pages GROUP BY 1
-      UNION ALL SELECT 'bytes_fetched', sum(least(strlen(html), {archives.LIMIT})) FROM pages)"""
+      UNION ALL SELECT 'bytes_fetched', sum(strlen(html)) FROM pages)"""
     sql["s3_warc_path_scan"] = "SELECT 2 * count(*) + 4 AS records, true AS complete FROM pages"
     multimap = "SELECT page_id, lower(name) AS name, string_agg(value, '|' ORDER BY n) AS values FROM hdr GROUP BY ALL"
     sql["s6_header_map"] = _with(HEADERS) + multimap

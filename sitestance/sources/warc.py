@@ -195,19 +195,29 @@ def _decode(pieces: Iterator[bytes], encodings: list[str], limit: int) -> tuple[
         return bytes(raw.kept), raw.size, "raw"
     decoded, status = _Body(limit), "decoded"
     inflater = None
+    ended = False
     for piece in pieces:
         raw.add(piece)
-        if status != "decoded":
+        if status != "decoded" or ended:
             continue
         try:
-            if inflater is None:
-                zlib_head = coding == "deflate" and (piece[0] & 0x0F) == 8
-                inflater = zlib.decompressobj(31 if coding != "deflate" else 15 if zlib_head else -15)
             while piece:
+                if inflater is None:
+                    zlib_head = coding == "deflate" and (piece[0] & 0x0F) == 8
+                    inflater = zlib.decompressobj(31 if coding != "deflate" else 15 if zlib_head else -15)
                 decoded.add(inflater.decompress(piece, _PIECE))
                 piece = inflater.unconsumed_tail
+                if inflater.eof:
+                    # Another gzip member may follow; anything else after the end is no content.
+                    piece = inflater.unused_data
+                    ended = coding == "deflate" or piece[:1] not in (b"", b"\x1f")
+                    inflater = None
+                    if ended:
+                        break
         except zlib.error:
             status = "partial" if decoded.size else "failed"
+    if inflater is not None and status == "decoded":
+        status = "partial" if decoded.size else "failed"
     if status == "failed":
         return bytes(raw.kept), raw.size, status
     return bytes(decoded.kept), decoded.size, status
