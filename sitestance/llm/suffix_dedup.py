@@ -196,26 +196,34 @@ def _start_batches(buckets: int):
     return run
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort one bucket at a time; the places that share their key with another place, by text."""
-    rows: list[tuple] = []
-    bucket = None
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket is not None and row[0] != bucket:
-                yield from _sorted_bucket(rows)
-                rows = []
-            bucket = row[0]
-            rows.append(row[1:])
-    if rows:
-        yield from _sorted_bucket(rows)
+def _meeting(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sort one bucket at a time; the places that share their key with another place."""
+        rows: list[tuple] = []
+        bucket = None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket is not None and row[0] != bucket:
+                    yield from _sorted_bucket(rows, groups)
+                    rows = []
+                bucket = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield from _sorted_bucket(rows, groups)
 
+    return run
 
-def _sorted_bucket(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+
+def _spelled(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the place of each entry of packed ``(at, texts, counts)`` rows."""
+    counts = [np.frombuffer(r[2], np.uint32).astype(np.int64) for r in rows]
+    texts = np.concatenate([np.repeat(np.frombuffer(r[1], np.int64), c) for r, c in zip(rows, counts)])
+    return texts, np.concatenate([_places(r[0], c) for r, c in zip(rows, counts)])
+
+
+def _sorted_bucket(rows: list[tuple], groups: int) -> Iterator[pa.RecordBatch]:
     keys = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-    counts = [np.frombuffer(r[3], np.uint32).astype(np.int64) for r in rows]
-    texts = np.concatenate([np.repeat(np.frombuffer(r[2], np.int64), c) for r, c in zip(rows, counts)])
-    at = np.concatenate([_places(r[1], c) for r, c in zip(rows, counts)])
+    texts, at = _spelled([r[1:] for r in rows])
     order = np.argsort(keys)
     keys, texts, at = keys[order], texts[order], at[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -227,34 +235,68 @@ def _sorted_bucket(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     texts, at = texts[keep], at[keep]
     if not len(texts):
         return
+    group = (_mixed(texts.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((at, texts, group))
+    group, texts, at = group[order], texts[order], at[order]
+    columns: list[list] = [[], [], [], []]
+    ends = np.cumsum(np.bincount(group, minlength=groups))
+    for g, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)):
+        if lo < hi:
+            who, counts = np.unique(texts[lo:hi], return_counts=True)
+            values = (g, _packed_places(at[lo:hi].astype(np.uint32), counts))
+            values += (who.tobytes(), counts.astype(np.uint32).tobytes())
+            for column, value in zip(columns, values):
+                column.append(value)
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], ["texts_of", "at", "texts", "counts"]
+    )
+
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All marked places of a group of texts, one row for each text."""
+    rows: list[tuple] = []
+    for batch in batches:
+        rows += zip(*(c.to_pylist() for c in batch.columns[1:]))
+    if not rows:
+        return
+    texts, at = _spelled(rows)
     order = np.lexsort((at, texts))
     texts, at = texts[order], at[order]
+    fresh = np.concatenate([[True], (texts[1:] != texts[:-1]) | (at[1:] != at[:-1])])
+    texts, at = texts[fresh], at[fresh]
     firsts = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
     parts = np.split(at.astype(np.uint32), firsts[1:])
     values = [_packed_places(p, np.array([len(p)])) for p in parts]
-    yield pa.RecordBatch.from_arrays([pa.array(texts[firsts]), pa.array(values, pa.binary())], ["text_key", "at"])
-
+    for lo in range(0, len(values), 4096):
+        own = slice(lo, lo + 4096)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(texts[firsts][own]), pa.array(values[own], pa.binary())], ["text_key", "at"]
+        )
 
-def _unpacked(parts: list[bytes]) -> np.ndarray:
-    def one(part: bytes) -> np.ndarray:
-        n = (len(part) - 1) // (2 if part[0] else 4)
-        return _places(part, np.array([n]))
 
-    return np.unique(np.concatenate([one(p) for p in parts]))
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = (len(packed) - 1) // (2 if packed[0] else 4)
+    return _places(packed, np.array([n]))
 
 
 def _met(packed: DataFrame, buckets: int, name: str) -> DataFrame:
-    """``text_key`` and the packed places of each text that share their key with another place."""
+    """``text_key`` and the packed places of each text that share their key with another place.
+
+    What a bucket finds goes back by groups of texts, packed like the way there, so the
+    rows between tasks number as the tasks do and not as texts times buckets.
+    """
     dealt = packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(_meeting, "text_key bigint, at binary")
-    return stored(found.groupBy("text_key").agg(F.collect_list("at").alias("at")), name)
+    found = dealt.mapInArrow(_meeting(buckets), "texts_of int, at binary, texts binary, counts binary")
+    back = found.repartitionById(buckets, F.col("texts_of"))
+    return stored(back.mapInArrow(_by_text, "text_key bigint, at binary"), name)
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = []
-        for parts in batch.column(1).to_pylist():
-            at = _unpacked(parts)
+        for packed in batch.column(1).to_pylist():
+            at = _unpacked(packed)
             gaps = np.flatnonzero(np.diff(at) > LENGTH)
             starts, ends = at[np.append(0, gaps + 1)], at[np.append(gaps, len(at) - 1)] + LENGTH
             spans.append([{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist())])
