@@ -310,7 +310,9 @@ def origin_policies(
     """One row per origin: rule sets and TDM columns, redirects followed.
 
     ``starts(origin, robots_url, tdmrep_url)``.  A failed fetch has no rule sets,
-    which allows everything; the status is not consulted (F8).
+    which allows everything; the status is not consulted (F8).  ``known`` (see
+    :func:`as_known`) also brings the rule sets and TDM files of an earlier run, which
+    count where a short-cut leads to a file that this log does not hold.
     """
     resolved = resolve_redirects(fetches, policy_starts(starts), known).withColumn(
         "fetch_key", F.when(F.col("error").isNull(), _log_key(F.col("final_url")))
@@ -319,7 +321,8 @@ def origin_policies(
         "fetch_key", "rule_sets"
     )
     robots_at = resolved.where(F.col("kind") == "robots")
-    robots_side = skew.lookup_join(robots_at, rules, "fetch_key", spread=["origin"]).select(
+    ruled = skew.lookup_join(robots_at, rules, "fetch_key", spread=["origin"])
+    robots_side = _or_earlier(ruled, known, "robots", "rule_sets").select(
         "origin",
         F.struct("final_url", "code", "num_redirects", "error").alias("robots"),
         "rule_sets",
@@ -332,13 +335,43 @@ def origin_policies(
         ).alias("file"),
     )
     tdm_at = resolved.where(F.col("kind") == "tdmrep")
-    tdm_side = skew.lookup_join(tdm_at, parsed, "fetch_key", spread=["origin"]).select(
+    filed = skew.lookup_join(tdm_at, parsed, "fetch_key", spread=["origin"])
+    tdm_side = _or_earlier(filed, known, "tdmrep", "file").select(
         "origin",
         F.struct("final_url", "code", "num_redirects", "error", "file").alias("tdmrep"),
     )
     return robots_side.join(tdm_side, "origin", "full")
 
 
+def _or_earlier(found: DataFrame, known: DataFrame | None, kind: str, column: str) -> DataFrame:
+    """where this run has no such file, what an earlier run made of it."""
+    if known is None or column not in known.columns:
+        return found
+    usable = known.where((F.col("kind") == kind) & F.col("error").isNull() & F.col(column).isNotNull())
+    # Origins that were sent to the same file have the same rules.
+    earlier = usable.groupBy(_log_key(F.col("final_url")).alias("fetch_key")).agg(
+        F.min_by(column, "origin").alias("_earlier")
+    )
+    both = skew.lookup_join(found, earlier, "fetch_key", spread=["origin"])
+    return both.withColumn(column, F.coalesce(column, "_earlier")).drop("_earlier")
+
+
+def as_known(policies: DataFrame) -> DataFrame:
+    """results of :func:`origin_policies` as the ``known`` results of a later run."""
+    file_type = policies.schema["tdmrep"].dataType["file"].dataType
+    sets_type = policies.schema["rule_sets"].dataType
+
+    def of(kind: str, sets: Column, file: Column) -> DataFrame:
+        result = [F.col(f"{kind}.{c}").alias(c) for c in _RESULT[3:]]
+        extra = [sets.cast(sets_type).alias("rule_sets"), file.cast(file_type).alias("file")]
+        return policies.where(F.col(kind).isNotNull()).select(
+            F.lit(kind).alias("kind"), "origin", *result, *extra
+        )
+
+    none = F.lit(None)
+    return of("robots", F.col("rule_sets"), none).union(of("tdmrep", none, F.col("tdmrep.file")))
+
+
 def page_policies(pages: DataFrame, policies: DataFrame) -> DataFrame:
     """adds ``denied`` (agents that may not fetch the page) and ``tdmrep``.
 

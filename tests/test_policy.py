@@ -79,6 +79,27 @@ def test_known_origin_is_reused(spark):
     assert (r["final_url"], r["code"], r["num_redirects"], r["error"]) == ("https://c/r", 200, 4, None)
 
 
+def test_known_rules_are_reused(spark):
+    names = "origin string, robots_url string, tdmrep_url string"
+
+    def starts(host):
+        site = f"http://{host}"
+        return spark.createDataFrame([(f"http:{host}:80", f"{site}/robots.txt", f"{site}/.well-known/tdmrep.json")], names)
+
+    first = [
+        row("http://b/robots.txt", content=b"User-agent: *\nDisallow: /\n"),
+        row("http://b/.well-known/tdmrep.json", content=b'[{"location":"/","tdm-reservation":1}]', kind="tdmrep"),
+    ]
+    known = policy.as_known(policy.origin_policies(spark.createDataFrame(first, FETCH), starts("b")))
+    second = [
+        row("http://a/robots.txt", 301, "http://b/robots.txt"),
+        row("http://a/.well-known/tdmrep.json", 301, "http://b/.well-known/tdmrep.json", kind="tdmrep"),
+    ]
+    policies = policy.origin_policies(spark.createDataFrame(second, FETCH), starts("a"), known=known)
+    r = policy.page_policies(spark.createDataFrame([("http://a/x",)], "url string"), policies).first()
+    assert len(r["denied"]) == 15 and r["tdmrep"]["file"]["num_groups"] == 1
+
+
 def test_cache(spark):
     days = [0, 3, 8, 9, 16, 17]
     rows = [("o", T0 + timedelta(days=d), i) for i, d in enumerate(days)] + [("p", T0, 9), ("p", T0, 10)]
