@@ -7,6 +7,8 @@ The outer forms plus a filter on the exploded value do not.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +35,23 @@ def map_rows(df: DataFrame, carry: list, mapped: Column | str, key: str, value:
     return df.select(*carry, F.explode_outer(mapped).alias(key, value)).where(
         F.col(key).isNotNull()
     )
+
+
+def multimap(entries: Column) -> Column:
+    """``(key, value)`` entries to a map; the values of a repeated key are put together."""
+
+    def values(found: Column, key: Column) -> Column:
+        own = F.filter(found, lambda e: e["key"] == key)
+        return F.flatten(F.transform(own, lambda e: e["value"]))
+
+    def build(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
+        joined = F.transform(keys, lambda k: F.struct(k.alias("key"), values(found, k).alias("value")))
+        return F.map_from_entries(F.when(F.size(keys) == F.size(found), found).otherwise(joined))
+
+    return F.element_at(F.transform(F.array(entries), build), 1)
+
+
+def overlaid(*maps: Column) -> Column:
+    """One map of all entries; of entries with one key the last map's counts."""
+    return reduce(lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(y, x)), maps)

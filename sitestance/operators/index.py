@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitestance import config
+from sitestance.functions.rows import multimap
 
 _SPARK_TYPES = {
     "integer": "int", "boolean": "boolean", "date": "timestamp", "keyword": "string", "text": "string",
@@ -18,7 +19,7 @@ def project(metadata: Column, mapping: list[str] | None = None) -> Column:
     """The multimap reduced to the mapped fields.
 
     ``a=b`` renames, ``a`` keeps, ``a.*`` keeps every key with that start; fields
-    without values are left out.  No document is dropped (E1).
+    without values are left out, and fields renamed to one name put their values together.  No document is dropped (E1).
     """
     rules = [m.strip() for m in (config.FIELD_MAPPING if mapping is None else mapping)]
     exact, prefixes = {}, []
@@ -44,7 +45,7 @@ def project(metadata: Column, mapping: list[str] | None = None) -> Column:
     renamed = F.transform(
         filled, lambda e: F.struct(field(e["key"]).alias("key"), e["value"].alias("value"))
     )
-    return F.map_from_entries(F.filter(renamed, lambda e: e["key"].isNotNull()))
+    return multimap(F.filter(renamed, lambda e: e["key"].isNotNull()))
 
 
 def field_type(path: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitestance import config
+from sitestance.functions.rows import overlaid
 from sitestance.operators import html, index, metadata, policy, robots
 from sitestance.session import prepare
 
@@ -39,7 +40,7 @@ def _with_site(rows: DataFrame, suffixes: DataFrame, labels: DataFrame | None) -
 
 def _merged(rows: DataFrame, *maps: Column) -> Column:
     parts = [F.col("metadata")] if "metadata" in rows.columns else []
-    return F.map_concat(*parts, *maps)
+    return overlaid(*parts, *maps)
 
 
 def page_metadata(
@@ -97,7 +98,7 @@ def fetched_page_documents(
         invalid,
         F.create_map(F.lit(f"{config.METADATA_PREFIX}error"), F.array(F.col("error"))),
     ).otherwise(policy.fetch_metadata(time, cached))
-    merged = judged.withColumn("metadata", F.map_concat("metadata", fetched))
+    merged = judged.withColumn("metadata", overlaid(F.col("metadata"), fetched))
     return merged.withColumn("doc", index.project(F.col("metadata"), mapping)).drop(
         "metadata", "denied", "robots", "tdmrep", "origin", "error", "cached"
     )

@@ -11,6 +11,8 @@ def test_projection(spark):
     df = spark.createDataFrame([(data,)], "m map<string,array<string>>")
     doc = df.select(index.project(F.col("m"), ["a=b", "c", "parse.meta.*"])).first()[0]
     assert doc == {"b": ["1"], "parse.meta.x": ["2"]}
+    both = df.select(index.project(F.col("m"), ["a=b", "parse.metax=b"])).first()[0]
+    assert both == {"b": ["1", "3"]}
 
 
 def test_types(spark):
