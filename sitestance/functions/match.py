@@ -25,8 +25,40 @@ def _quoted(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
 
 
-def compile_rule(pattern: Column, allow: Column) -> Column:
+# Octets that are the same with and without their percent-encoding: letters, digits, - . _ ~
+_UNRESERVED = r"^%(?:2[DdEe]|3[0-9]|4[1-9A-Fa-f]|5[0-9AaFf]|6[1-9A-Fa-f]|7[0-9AaEe])$"
+
+
+def normalised(path: Column) -> Column:
+    """RFC 9309 §2.2.2: one spelling of a path or pattern.
+
+    Octets outside ASCII are percent-encoded, unreserved ones are decoded, and the hex
+    digits of the others are written in capitals.
+    """
+
+    def one(piece: Column) -> Column:
+        return (
+            F.when(piece.rlike(_UNRESERVED), F.unhex(F.substring(piece, 2, 2)).cast("string"))
+            .when(piece.rlike(r"^%[0-9A-Fa-f]{2}$"), F.upper(piece))
+            .when(piece.rlike(r"^[^\x00-\x7F]"), F.url_encode(piece))
+            .otherwise(piece)
+        )
+
+    pieces = F.regexp_extract_all(
+        path, F.lit(r"%[0-9A-Fa-f]{2}|[^\x00-\x7F]+|[\x00-\x24\x26-\x7F]+|%"), F.lit(0)
+    )
+    plain = ~path.rlike(r"[^\x00-\x24\x26-\x7F]")
+    return F.when(plain, path).otherwise(F.array_join(F.transform(pieces, one), ""))
+
+
+def compile_rule(written: Column, allow: Column) -> Column:
     """Pattern text to ``(rank, deny, head, rest)``; sorting these gives priority order."""
+    return F.element_at(
+        F.transform(F.array(normalised(written)), lambda p: _compiled(p, allow)), 1
+    )
+
+
+def _compiled(pattern: Column, allow: Column) -> Column:
     anchored = F.endswith(pattern, F.lit("$"))
     body = F.when(anchored, pattern.substr(F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
     parts = F.split(body, r"\*+", -1)
@@ -59,7 +91,10 @@ def in_priority_order(rules: Column) -> Column:
 
 
 def verdict(path: Column, rules: Column) -> Column:
-    """May ``path`` be read under these sorted rules?  ``/robots.txt`` always may."""
+    """May ``path``, :func:`normalised`, be read under these sorted rules?
+
+    ``/robots.txt`` always may.
+    """
     fitting = F.filter(
         rules,
         lambda r: F.startswith(path, r["head"])
@@ -87,5 +122,5 @@ def program(rules: Column) -> Column:
 
 
 def passes(path: Column, compiled: Column) -> Column:
-    """Verdict of a :func:`program` for one path."""
+    """Verdict of a :func:`program` for one path, :func:`normalised`."""
     return (path == "/robots.txt") | (F.call_function("regexp_extract", path, compiled, F.lit(0)) == "")

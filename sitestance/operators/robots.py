@@ -269,6 +269,7 @@ def profile(docs: DataFrame, agents: list[str] | None = None) -> DataFrame:
                     F.array(F.lit(ASTERISK)), F.array_intersect(listed, F.col("useragents"))
                 ),
             ),
+            "probes": F.transform("directories", lambda d: _probe(F.col("base"), d)),
         }
     )
     # An arbitrary bot follows the asterisk groups; a named agent its own.
@@ -283,7 +284,7 @@ def profile(docs: DataFrame, agents: list[str] | None = None) -> DataFrame:
             ),
         ),
     )
-    directories, base = F.col("directories"), F.col("base")
+    probes, root = F.col("probes"), _probe(F.col("base"), F.lit("/"))
     judged = ruled.withColumn(
         "judged",
         F.transform(
@@ -293,10 +294,8 @@ def profile(docs: DataFrame, agents: list[str] | None = None) -> DataFrame:
                 _sum(r["counts"], "allow").alias("num_allow"),
                 _sum(r["counts"], "disallow").alias("num_disallow"),
                 _sum(r["counts"], "empty").alias("num_disallow_empty"),
-                match.passes(_probe(base, F.lit("/")), r["program"]).alias("may_read_root"),
-                F.size(
-                    F.filter(directories, lambda d: match.passes(_probe(base, d), r["program"]))
-                ).alias("readable"),
+                match.passes(root, r["program"]).alias("may_read_root"),
+                F.size(F.filter(probes, lambda p: match.passes(p, r["program"]))).alias("readable"),
             ),
         ),
     )
@@ -317,13 +316,14 @@ def profile(docs: DataFrame, agents: list[str] | None = None) -> DataFrame:
             F.when(j["agent"] != ASTERISK, j["readable"] - arbitrary).alias("bias"),
         ),
     )
-    return judged.withColumn("agents", summary).drop("subjects", "ruled", "judged", "base")
+    return judged.withColumn("agents", summary).drop("subjects", "ruled", "judged", "base", "probes")
 
 
 def _probe(base: Column, folder: Column) -> Column:
-    """The probed path; a fragment in the base URL hides what follows it."""
+    """The probed path in one spelling; a fragment in the base URL hides what follows it."""
     whole = F.concat(base, folder, F.lit("42"))
-    return F.when(F.contains(whole, F.lit("#")), F.substring_index(whole, "#", 1)).otherwise(whole)
+    seen = F.when(F.contains(whole, F.lit("#")), F.substring_index(whole, "#", 1)).otherwise(whole)
+    return match.normalised(seen)
 
 
 # --- long tables ---------------------------------------------------------------
@@ -415,9 +415,14 @@ SETS_TYPE = f"array<struct<agents:array<string>,rules:array<{match.RULE_TYPE}>>>
 
 def judge(path: Column, sets: Column) -> Column:
     """Agents that may *not* read ``path``; an absent rule set denies nothing."""
-    denying = F.filter(sets, lambda s: ~match.verdict(path, s["rules"]))
-    names = F.flatten(F.transform(denying, lambda s: s["agents"]))
-    return F.coalesce(F.array_sort(names), F.array().cast("array<string>"))
+
+    def denied(known: Column) -> Column:
+        denying = F.filter(sets, lambda s: ~match.verdict(known, s["rules"]))
+        return F.array_sort(F.flatten(F.transform(denying, lambda s: s["agents"])))
+
+    # The path is brought into one spelling once, not once for each rule set.
+    names = F.element_at(F.transform(F.array(match.normalised(path)), denied), 1)
+    return F.coalesce(names, F.array().cast("array<string>"))
 
 
 def verdicts(probes: DataFrame, documents: DataFrame, agents: list[str] | None = None) -> DataFrame:
