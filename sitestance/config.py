@@ -142,6 +142,26 @@ DIRECTIVE_KEY = "parse.meta.robots"
 LABEL_KEY = "parse.curlieLabel"
 METADATA_PREFIX = "fetcher.file."
 
+# Directives that forbid something, alone or after the name of a bot; ``max-…`` only limits.
+RESTRICTING = [
+    "noindex", "nofollow", "none", "noarchive", "nocache", "nosnippet",
+    "noimageindex", "noai", "noimageai", "noml",
+]
+RESTRICTS = rf"^([^:]+:\s*)?({'|'.join(RESTRICTING)})$"
+
+# Character sets that a page may declare, by their usual names; all others are read as UTF-8.
+CHARSETS = {
+    "iso-8859-1": "windows-1252", "latin1": "windows-1252", "us-ascii": "windows-1252",
+    "ascii": "windows-1252", "cp1252": "windows-1252", "x-sjis": "shift_jis", "gb2312": "gbk",
+    **{
+        name: name
+        for name in (
+            *(f"windows-125{n}" for n in range(9)), *(f"iso-8859-{n}" for n in (2, 4, 5, 6, 7, 8, 9, 13, 15)),
+            "koi8-r", "koi8-u", "utf-16le", "utf-16be", "gbk", "gb18030", "big5", "shift_jis", "euc-jp", "euc-kr",
+        )
+    },
+}
+
 # --- Fixed values: index document --------------------------------------------
 FIELD_MAPPING = [
     "warc.file.name",

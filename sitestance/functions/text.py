@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitestance.config import ENTITIES
+from sitestance.config import CHARSETS, ENTITIES
 
 # A line ends at any of these.
 LINE_BREAKS = "[\n\r\u0085\u2028\u2029]"
@@ -25,6 +25,31 @@ def control_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def declared_charset(content: Column, content_type: Column) -> Column:
+    """The character set named by the header, else by a meta tag in the first 1,024 bytes."""
+    def named(where: Column) -> Column:
+        found = F.regexp_extract(where, r"(?i)charset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)", 1)
+        return F.lower(F.nullif(found, F.lit("")))
+
+    start = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    tag = F.regexp_extract(start, r"(?i)<meta\b[^>]{0,1000}?charset[^>]{0,1000}", 0)
+    return F.coalesce(named(content_type), named(tag))
+
+
+def decode_page(content: Column, content_type: Column) -> Column:
+    """Bytes of a page to text: byte order mark, header, meta tag, else UTF-8.
+
+    Unknown character sets count as UTF-8; null content gives null.
+    """
+    known = F.try_element_at(constant(CHARSETS, "map<string,string>"), declared_charset(content, content_type))
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF") | (
+        F.hex(F.substring(content, 1, 3)) == "EFBBBF"
+    )
+    return F.when(marked | known.isNull(), decode_text(content)).otherwise(
+        F.call_function("decode", content, known)
+    )
+
+
 def decode_text(content: Column) -> Column:
     """Bytes to text: the byte order mark picks the charset, UTF-8 otherwise.
 

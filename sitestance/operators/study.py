@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitestance import config
 from sitestance.functions.rows import exploded, inlined
 from sitestance.operators.robots import agent_label, agent_rows
 
@@ -140,6 +141,12 @@ def sitemap_and_delay(profiles: DataFrame) -> DataFrame:
     )
 
 
+def restricts(directive: Column) -> Column:
+    """Whether one robots directive forbids something, possibly for one bot only."""
+    low = F.lower(directive)
+    return low.rlike(config.RESTRICTS) & ~F.startswith(low, F.lit("max-"))
+
+
 def mechanisms(pages: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """Q10: pages per combination of control mechanisms.
 

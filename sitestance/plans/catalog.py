@@ -227,12 +227,11 @@ def s13_counters(spark, sf_dir):
 @query
 def s13_stream_counters(spark, sf_dir):
     """The same counters as a stream behind a watermark, drained into a table."""
-    stream = corpora.event_stream(spark, sf_dir)
-    counted = jobs.counters(stream, "ts", "event_type", "0 seconds")
+    stream = corpora.event_stream(spark, sf_dir).withColumn("size", F.length("props"))
+    counted = jobs.counters(stream, "ts", "event_type", "size", "1 day")
     out = _folder(spark, "counters")
-    jobs.run_to_table(counted, f"{out}/table", f"{out}/state")
-    table = spark.read.schema(counted.schema).parquet(f"{out}/table")
-    return table.select(_millis("bucket").alias("bucket"), "scope", *_long("n"))
+    table = jobs.run_to_latest(counted, f"{out}/table", f"{out}/state", ["bucket", "scope"])
+    return table.select(_millis("bucket").alias("bucket"), "scope", *_long("n", "bytes"))
 
 
 @query
@@ -809,6 +808,34 @@ def e6_page_documents(spark, sf_dir):
     return docs.select("page_id", "crawl", "url", F.size("doc").cast("bigint").alias("fields"))
 
 
+@query
+def e6_captured_page_documents(spark, sf_dir):
+    """From archives to page documents, by way of a stored capture table."""
+    pages = corpora.read(spark, sf_dir, "pages").select(*corpora._expressions(corpora.PAGE_COLUMNS))
+    folder = archives.write(pages, _folder(spark, "warc"))
+    warc.register(spark)
+    records = spark.read.format("warc").option("limit", archives.LIMIT).load(folder)
+    number = F.regexp_extract(captures.paired_request(), r"^GET /(\d+) ", 1).cast("bigint")
+    stored = flows.store_captures(
+        flows.captured(records.withColumn("page_id", number), archives.LIMIT),
+        _folder(spark, "captures"), "warc", "2023-50",
+    )
+    docs = flows.page_documents(flows.captured_pages(stored), corpora.suffixes(spark))
+    place = F.col("field").isin("warc.file.name", "warc.record.offset")
+    return _fields(docs, "page_id").where(~place)
+
+
+@query
+def e6_set_aside(spark, sf_dir):
+    """Archive records that no flow can use, with the reason."""
+    pages = corpora.read(spark, sf_dir, "pages")
+    lost = pages.withColumn("url", F.when(F.col("page_id") % 9 != 0, F.col("url")).otherwise(""))
+    folder = archives.write(lost, _folder(spark, "warc"))
+    warc.register(spark)
+    records = spark.read.format("warc").option("limit", archives.LIMIT).load(folder)
+    return flows.set_aside(records).groupBy("error").agg(F.count("*").alias("n"))
+
+
 @query
 def e6_fetched_page_documents(spark, sf_dir):
     pages = corpora.with_headers(corpora.read(spark, sf_dir, "pages")).select(
@@ -894,7 +921,7 @@ def q10_mechanisms(spark, sf_dir):
     judged = policy.page_policies(_refined(spark, sf_dir), _policies(spark, sf_dir))
 
     def restricts(key: str) -> Column:
-        return F.exists(html.values_of(key), lambda v: F.contains(v, F.lit("no")))
+        return F.exists(html.values_of(key), study.restricts)
 
     flags = {
         "meta": restricts(config.DIRECTIVE_KEY),

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sitestance import config
 from sitestance.functions.rows import overlaid
-from sitestance.operators import html, index, metadata, policy, robots
+from sitestance.functions.text import decode_page
+from sitestance.operators import captures, html, index, metadata, policy, robots
 from sitestance.session import prepare
 
 
@@ -43,6 +44,72 @@ def _merged(rows: DataFrame, *maps: Column) -> Column:
     return overlaid(*parts, *maps)
 
 
+# --- from archive records to the flows' inputs ----------------------------------
+
+
+def _usable() -> Column:
+    return (F.coalesce("target", F.lit("")) != "") & F.col("content").isNotNull()
+
+
+def captured(records: DataFrame, limit: int = config.CONTENT_LIMIT) -> DataFrame:
+    """Scan records to captures: responses with a URL, cut to ``limit``, with their metadata.
+
+    What is left out comes from :func:`set_aside`.  Columns of the caller stay.
+    """
+    good, _ = metadata.quarantine(captures.http_responses(records), ~_usable())
+    return captures.capture_columns(captures.truncate(good, limit))
+
+
+def set_aside(records: DataFrame) -> DataFrame:
+    """``(file, offset, error)``: faults of the scan, and responses that no flow can use."""
+    _, bad = metadata.quarantine(captures.http_responses(records), ~_usable())
+    reason = F.when(F.coalesce("target", F.lit("")) == "", F.lit("response without URL")).otherwise(
+        F.lit("response without content")
+    )
+    return captures.scan_errors(records).unionByName(bad.select("file", "offset", reason.alias("error")))
+
+
+def store_captures(table: DataFrame, path: str, dataset: str, crawl: str) -> DataFrame:
+    """Captures written once under their dataset and crawl, and read back from there.
+
+    Every later step reads this table, so archives are fetched and inflated once however
+    often an operator passes over its input.
+    """
+    part = f"{path}/dataset={dataset}/crawl={crawl}"
+    table.drop("dataset", "crawl").write.mode("overwrite").option("compression", "zstd").parquet(part)
+    read = table.sparkSession.read.schema(table.drop("dataset", "crawl").schema).parquet(part)
+    return read.withColumns({"dataset": F.lit(dataset), "crawl": F.lit(crawl)})
+
+
+def _content_type() -> Column:
+    values = captures.header_values(F.col("headers"), F.lit("content-type"))
+    return F.try_element_at(values, F.lit(1))
+
+
+def captured_pages(table: DataFrame) -> DataFrame:
+    """Captures to ``pages(url, html, headers, metadata, …)``, decoded as the page declares."""
+    return table.withColumns(
+        {"url": F.col("target"), "html": decode_page(F.col("content"), _content_type())}
+    ).drop(*_CAPTURE_ONLY, "content", "target")
+
+
+def captured_robots(table: DataFrame) -> DataFrame:
+    """Captures to ``robots(url, status, content_type, content, metadata, …)``."""
+    return table.withColumns(
+        {"url": F.col("target"), "status": F.col("http_status"), "content_type": _content_type()}
+    ).drop(*_CAPTURE_ONLY, "headers", "target")
+
+
+_CAPTURE_ONLY = [
+    "type", "media_type", "record_id", "concurrent_to", "http_status", "http_block", "full_length",
+    "decode_status", "preceding_request", "error", "trimmed", "trimmed_reason", "truncated",
+    "date", "ip", "file", "file_size", "offset", "length",
+]
+
+
+# --- the flows -----------------------------------------------------------------
+
+
 def page_metadata(
     pages: DataFrame, suffixes: DataFrame, labels: DataFrame | None = None
 ) -> DataFrame:

@@ -383,6 +383,7 @@ def queries() -> dict[str, str]:
     sql["s13_counters"] = (
         f"SELECT {buckets}, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events GROUP BY ALL"
     )
+    sql["s13_stream_counters"] = sql["s13_counters"]
     sql["s14_labels"] = _with(LABELS) + "SELECT host, label FROM labels_ WHERE label IS NOT NULL"
     registry = [
         (c, "robotstxt", f"/data/input/{c}/", "robotstxt.paths", f"content-robots-{c}") for c in config.CRAWLS
@@ -541,6 +542,10 @@ pq AS (SELECT page_id AS doc_id, {PATH} AS path FROM pages)"""
     sql["e6_page_documents"] = _with(*page_fields) + (
         f"SELECT page_id, crawl, url, count(field) AS fields FROM pg LEFT JOIN ({page_rows} {extra}) USING (page_id) GROUP BY ALL"
     )
+    sql["e6_captured_page_documents"] = _with(*ANNOTATED, DOMAINS, PAGE_FIELDS) + f"""{page_rows} WHERE field NOT LIKE 'parse.http.%'
+      UNION ALL SELECT page_id, 'capturetime', '1695289671000' FROM pages
+      UNION ALL SELECT page_id, 'ip', '10.0.0.1' FROM pages"""
+    sql["e6_set_aside"] = "SELECT 'response without URL' AS error, count(*) AS n FROM pages WHERE page_id % 9 = 0"
     sql["e6_fetched_page_documents"] = _with(
         *VERDICT_CHAIN, FETCH_TDM, FIELDS, *ANNOTATED, DOMAINS.replace("rules(", "suffix_rules(").replace("JOIN rules", "JOIN suffix_rules"), PAGE_FIELDS
     ) + f"{page_rows} UNION ALL SELECT page_id, field, values FROM fetchfields WHERE values IS NOT NULL"
@@ -571,10 +576,11 @@ pq AS (SELECT page_id AS doc_id, {PATH} AS path FROM pages)"""
         WHERE page_id IN (SELECT page_id FROM refd WHERE key = 'parse.meta.tdm-reservation')) GROUP BY CUBE (crawl, label)"""
     sql["q9_sitemap_and_delay"] = _robots("""SELECT crawl, count(*) AS docs, count(*) FILTER (num_sitemaps > 0) AS with_sitemap,
       count(crawldelay) AS with_delay, max(crawldelay) AS max_delay FROM stats GROUP BY ALL""")
+    restricts = f"regexp_matches(lower(value), '{config.RESTRICTS}') AND NOT starts_with(lower(value), 'max-')"
     sql["q10_mechanisms"] = _with(*VERDICT_CHAIN, FETCH_TDM, *ANNOTATED) + f"""SELECT crawl, CASE WHEN combo = '' THEN 'none' ELSE combo END AS combination, count(*) AS pages
       FROM (SELECT crawl, concat_ws('+',
-        CASE WHEN page_id IN (SELECT page_id FROM refd WHERE key = 'parse.meta.robots' AND contains(value, 'no')) THEN 'meta' END,
-        CASE WHEN page_id IN (SELECT page_id FROM refd WHERE key = 'parse.http.x-robots-tag' AND contains(value, 'no')) THEN 'header' END,
+        CASE WHEN page_id IN (SELECT page_id FROM refd WHERE key = 'parse.meta.robots' AND {restricts}) THEN 'meta' END,
+        CASE WHEN page_id IN (SELECT page_id FROM refd WHERE key = 'parse.http.x-robots-tag' AND {restricts}) THEN 'header' END,
         CASE WHEN page_id IN (SELECT page_id FROM denied WHERE agent = 'gptbot') THEN 'robots' END,
         CASE WHEN {_ORIGIN} IN (SELECT doc_id FROM tg WHERE tdm_reservation = 1) THEN 'tdm' END) AS combo FROM pg) GROUP BY ALL"""
     sql["q11_licences"] = _with(*ANNOTATED) + """SELECT crawl, key, CASE WHEN k <> '' THEN k ELSE 'other' END AS licence, count(*) AS links

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     # Malformed bytes become U+FFFD instead of failing the task.
     "spark.sql.legacy.codingErrorAction": "true",
+    # Pages may come in any of ``config.CHARSETS``.
+    "spark.sql.legacy.javaCharsets": "true",
     # JSON objects with a repeated key keep the last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",

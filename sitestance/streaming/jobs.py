@@ -5,11 +5,13 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitestance import config
 from sitestance.operators import captures, index
@@ -21,57 +23,122 @@ TTL_SETTINGS = {
 }
 
 
-def counters(events: DataFrame, ts: str, scope: str, lateness: str = "1 minute") -> DataFrame:
-    """S13 on a stream: the batch plan behind a watermark, which bounds the state."""
-    return captures.counters(events.withWatermark(ts, lateness), ts, scope)
+def counters(
+    events: DataFrame, ts: str, scope: str, size: str | None = None, lateness: str = "1 hour"
+) -> DataFrame:
+    """S13 on a stream: the batch plan behind a watermark, which bounds the state.
+
+    Events later than ``lateness`` are not counted any more.
+    """
+    return captures.counters(events.withWatermark(ts, lateness), ts, scope, size)
+
+
+def run_to_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Drain an aggregation in update mode; the newest row of every key, open buckets included.
+
+    A micro-batch writes only the groups it changed, into its own subfolder; run again
+    after a failure it overwrites that one.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    # Without any input there is no micro-batch, but there is a table.
+    write(spark.createDataFrame([], stream.schema), -1)
+    (
+        stream.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    table = spark.read.schema(schema).parquet(path)
+    values = [c for c in table.columns if c not in (*keys, "batch")]
+    newest = table.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("newest"))
+    return newest.select(*keys, "newest.*")
 
 
 class _Cache(StatefulProcessor):
     """Holds one time per origin: when its policy was last fetched."""
 
-    def __init__(self, ttl_us: int):
+    def __init__(self, ttl_us: int, expires: bool):
         self.ttl_us = ttl_us
+        self.expires = expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.written = handle.getValueState("written", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        written = self.written.get()[0] if self.written.exists() else None
-        for batch in rows:
-            ordered = batch.sort_values(["ts", "row_id"], kind="stable")
-            times = ordered["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            cached = []
-            for t in times:
-                hit = written is not None and t < written + self.ttl_us
-                if not hit:
-                    written = int(t)
-                cached.append(hit)
-            yield pd.DataFrame(
-                {
-                    "origin": key[0],
-                    "row_id": ordered["row_id"].to_numpy(),
-                    "ts": ordered["ts"].to_numpy(),
-                    "cached": cached,
-                }
-            )
-        if written is not None:
+        before = self.written.get()[0] if self.written.exists() else None
+        # An origin's rows come in several chunks without order among them.
+        ordered = pd.concat(list(rows), ignore_index=True)[["ts", "row_id"]].sort_values(
+            ["ts", "row_id"], kind="stable", na_position="first"
+        )
+        times = ordered["ts"].to_numpy("datetime64[us]").astype("int64")
+        timeless = int(ordered["ts"].isna().sum())
+        cached = np.ones(len(times), bool)
+        written = before
+        while True:
+            free = timeless if written is None else np.searchsorted(times, written + self.ttl_us)
+            at = max(int(free), timeless)
+            if at >= len(times):
+                break
+            cached[at] = False
+            written = int(times[at])
+        yield pd.DataFrame(
+            {
+                "origin": key[0],
+                "row_id": ordered["row_id"].to_numpy(),
+                "ts": ordered["ts"].to_numpy(),
+                "cached": cached,
+            }
+        )
+        if written != before:
             self.written.update((written,))
+            if self.expires:
+                self.handle.registerTimer(-(-(written + self.ttl_us) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.written.exists() and self.written.get()[0] + self.ttl_us <= passed:
+            self.written.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def cache_hits(requests: DataFrame, ttl_days: int = config.CACHE_TTL_DAYS) -> DataFrame:
-    """F5 on a stream of ``(origin, ts, row_id)``; rows should arrive in time order.
+def cache_hits(
+    requests: DataFrame, ttl_days: int = config.CACHE_TTL_DAYS, lateness: str | None = None
+) -> DataFrame:
+    """F5 on a stream of ``(origin, ts, row_id)``; micro-batches should come in time order.
 
-    The state is one number per origin.
+    Within a micro-batch rows may have any order; those of one origin are sorted together,
+    so bound a micro-batch by the source's maxima per trigger.  The state is one number per
+    origin.  With ``lateness`` it is dropped once the watermark has passed its span, and rows
+    later than that are not looked at; without, every origin is kept and no row is lost.
+    Rows without an origin have ``cached`` NULL and touch no state; rows without a time are hits.
     """
-    return requests.groupBy("origin").transformWithStateInPandas(
-        _Cache(ttl_days * 86_400_000_000),
+    keyed = requests.where("origin is not null")
+    if lateness is not None:
+        keyed = keyed.withWatermark("ts", lateness)
+    flagged = keyed.groupBy("origin").transformWithStateInPandas(
+        _Cache(ttl_days * 86_400_000_000, lateness is not None),
         outputStructType="origin string, row_id bigint, ts timestamp, cached boolean",
         outputMode="append",
-        timeMode="None",
+        timeMode="None" if lateness is None else "EventTime",
+    )
+    others = requests.where("origin is null").select(
+        F.col("origin").cast("string").alias("origin"),
+        F.col("row_id").cast("bigint").alias("row_id"),
+        "ts",
+        F.lit(None).cast("boolean").alias("cached"),
     )
+    return flagged.union(others)
 
 
 def write_index(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
