@@ -839,11 +839,11 @@ def e6_set_aside(spark, sf_dir):
 @query
 def e6_fetched_page_documents(spark, sf_dir):
     pages = corpora.with_headers(corpora.read(spark, sf_dir, "pages")).select(
-        "headers", *corpora._expressions(corpora.PAGE_COLUMNS)
+        "headers", F.expr(corpora.FETCHED_AT).alias("ts"), *corpora._expressions(corpora.PAGE_COLUMNS)
     )
     docs = flows.fetched_page_documents(
         pages, _policies(spark, sf_dir), corpora.suffixes(spark),
-        fetch_time=F.lit("2024-01-01 00:00:00").cast("timestamp"),
+        fetch_time=F.lit("2024-01-01 00:00:00").cast("timestamp"), ts="ts", row_id="page_id",
     )
     return _fields(docs, "page_id")
 

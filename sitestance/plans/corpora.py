@@ -130,6 +130,9 @@ PAGE_COLUMNS = {
 _TITLE = "CASE WHEN page_id % 12 = 4 THEN replace(replace({h}, '<title>', '<x>'), '</title>', '</x>') ELSE {h} END"
 PAGE_COLUMNS["html"] = _TITLE.format(h=PAGE_COLUMNS["html"])
 
+# Pages are fetched over some twenty days, in no order of their numbers.
+FETCHED_AT = "timestamp_seconds(1695289671 + page_id * 7919 % 1009 * 1800)"
+
 # --- response headers: one text line per header, in record order ------------------
 
 HEADER_TEMPLATES = [

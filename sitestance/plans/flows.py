@@ -150,13 +150,20 @@ def fetched_page_documents(
     labels: DataFrame | None = None,
     fetch_time: Column | None = None,
     mapping: list[str] | None = None,
+    ts: str | None = None,
+    row_id: str | None = None,
 ) -> DataFrame:
     """The fetch flow: the page flow plus robots verdicts and TDM of the origin.
 
     The HTML is reduced to annotations before the join, so it is never shuffled.
+    With the columns ``ts``, when a page was fetched, and ``row_id``, unique to a row, the
+    flow says whether the policy came from the cache (F5); else a column ``cached`` of the
+    pages does, if there is one.
     """
     prepare(pages.sparkSession)
     rows = page_metadata(policy.validate(pages), suffixes, labels)
+    if ts is not None and row_id is not None:
+        rows = policy.cache_hits(policy.with_origin(rows.drop("cached")), "origin", ts, row_id)
     judged = policy.page_policies(rows, policies)
     time = F.current_timestamp() if fetch_time is None else fetch_time
     cached = F.col("cached") if "cached" in judged.columns else F.lit(None).cast("boolean")

@@ -546,9 +546,16 @@ pq AS (SELECT page_id AS doc_id, {PATH} AS path FROM pages)"""
       UNION ALL SELECT page_id, 'capturetime', '1695289671000' FROM pages
       UNION ALL SELECT page_id, 'ip', '10.0.0.1' FROM pages"""
     sql["e6_set_aside"] = "SELECT 'response without URL' AS error, count(*) AS n FROM pages WHERE page_id % 9 = 0"
+    requests = f"requests AS (SELECT page_id, {_ORIGIN} AS origin, 1695289671 + page_id * 7919 % 1009 * 1800 AS t FROM pages)"
+    spans = """spans AS (SELECT origin, min(t) AS t FROM requests GROUP BY 1
+      UNION ALL SELECT origin, min(t) FROM (SELECT s.origin, q.t FROM spans s JOIN requests q
+        ON q.origin = s.origin AND q.t >= s.t + 7 * 86400) GROUP BY origin)"""
     sql["e6_fetched_page_documents"] = _with(
-        *VERDICT_CHAIN, FETCH_TDM, FIELDS, *ANNOTATED, DOMAINS.replace("rules(", "suffix_rules(").replace("JOIN rules", "JOIN suffix_rules"), PAGE_FIELDS
-    ) + f"{page_rows} UNION ALL SELECT page_id, field, values FROM fetchfields WHERE values IS NOT NULL"
+        requests, spans, *VERDICT_CHAIN, FETCH_TDM, FIELDS, *ANNOTATED, DOMAINS.replace("rules(", "suffix_rules(").replace("JOIN rules", "JOIN suffix_rules"), PAGE_FIELDS
+    ) + f"""{page_rows} UNION ALL SELECT page_id, field, values FROM fetchfields WHERE values IS NOT NULL
+      UNION ALL SELECT page_id, 'fetcher.file.robots.cached', CASE WHEN spans.t IS NOT NULL AND
+        row_number() OVER (PARTITION BY q.origin, q.t ORDER BY page_id) = 1 THEN 'false' ELSE 'true' END
+      FROM requests q LEFT JOIN spans ON spans.origin = q.origin AND spans.t = q.t"""
 
     sql["q1_agents_named"] = _robots(_NAMED)
     sql["q2_agents_blocked"] = _robots(f"""SELECT crawl, agent, blocked, CAST(rank AS BIGINT) AS rank FROM (
