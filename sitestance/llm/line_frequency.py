@@ -4,10 +4,9 @@ Every line is normalised (lower case, white space squeezed) and hashed.  A line
 documents of one host have is boilerplate and is removed; a document that loses more than
 half of its words that way is depleted and rejected.  ``source`` stands for the host.
 
-Copies of a text are not different documents, and their lines are not boilerplate.  So a
-document is counted for a line by its context, the least of its other lines in an order
-drawn by the line.  Copies and near copies share their context; the number of documents is
-the effective number of contexts, ``(sum of counts)^2 / sum of squared counts``.
+Copies of a text are not different documents, and their lines are not boilerplate.  So equal
+texts of a host have one vote for a line, and so have near copies: texts that are linked by
+four fifths of equal shingles (``alike``).  A line's documents are its distinct classes.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitestance.llm.common import fresh, look_up, stored
+from sitestance.llm.alike import near_links, sketch
+from sitestance.llm.common import components, fresh, look_up, stored
 
 # Documents of one host, at least, that share a line which is removed.
 MIN_DOCUMENTS = 10
@@ -31,20 +31,16 @@ MAX_REPEATED = 0.5
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 WINDOW = 3
-ORDERS = 16
 SEED = 42
 
-_ORDER_KEYS = np.random.default_rng(2).integers(1, 1 << 63, ORDERS, dtype=np.uint64) * 2 + 1
 _SCHEMA = (
-    "row bigint, doc_id bigint, source string, content bigint, n_words bigint, word_chars bigint, "
+    "row bigint, doc_id bigint, source string, content bigint, sketch binary, n_words bigint, word_chars bigint, "
     "n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "
-    "lines array<struct<line:bigint,context:bigint,words:bigint,at:array<int>>>"
-)
-_LINE = pa.struct(
-    [("line", pa.int64()), ("context", pa.int64()), ("words", pa.int64()), ("at", pa.list_(pa.int32()))]
+    "lines array<struct<line:bigint,words:bigint,at:array<int>>>"
 )
+_LINE = pa.struct([("line", pa.int64()), ("words", pa.int64()), ("at", pa.list_(pa.int32()))])
 _ARROW = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("content", pa.int64())]
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("content", pa.int64()), ("sketch", pa.binary())]
     + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     + [("base_failed", pa.bool_()), ("lines", pa.list_(_LINE))]
 )
@@ -69,19 +65,6 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def _contexts(lines: np.ndarray) -> np.ndarray:
-    """For each distinct line the least other line in the order it draws; 0 if it is alone."""
-    if len(lines) < 2:
-        return np.zeros(len(lines), np.uint64)
-    ranks = lines[None, :] * _ORDER_KEYS[:, None]
-    ranks ^= ranks >> np.uint64(29)
-    first, second = np.argpartition(ranks, 1, axis=1)[:, :2].T
-    order = (lines % np.uint64(ORDERS)).astype(np.int64)
-    best = first[order]
-    own = best == np.arange(len(lines))
-    return lines[np.where(own, second[order], best)]
-
-
 def _measure(text: str | None) -> tuple:
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
@@ -101,10 +84,9 @@ def _measure(text: str | None) -> tuple:
         entry[0] += len(parts)
         entry[1].append(at)
     hashes = np.fromiter(found, np.uint64, len(found))
-    contexts = _contexts(hashes).astype(np.int64).tolist()
     lines = [
-        {"line": h, "context": c, "words": w, "at": at}
-        for h, c, (w, at) in zip(hashes.astype(np.int64).tolist(), contexts, found.values())
+        {"line": h, "words": w, "at": at}
+        for h, (w, at) in zip(hashes.astype(np.int64).tolist(), found.values())
     ]
     n_repeat = repeated_words(words)
     failed = len(words) < MIN_WORDS or n_repeat > MAX_REPEATED * len(words)
@@ -112,7 +94,7 @@ def _measure(text: str | None) -> tuple:
     content = SEED if text is None else xxhash.xxh64_intdigest(data, SEED)
     signed = content - (1 << 64) if content >> 63 else content
     chars = len(text or "") - n_white
-    return signed, len(words), chars, n_symbols, n_dup, n_repeat, failed, lines
+    return signed, sketch(data), len(words), chars, n_symbols, n_dup, n_repeat, failed, lines
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +120,24 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(figures: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``(source, line)`` of the lines that at least so many documents of the host have."""
-    lines = figures.select("source", F.explode("lines").alias("l")).select(
-        "source", "l.line", "l.context"
-    )
-    counted = lines.groupBy("source", "line", "context").agg(F.count("*").cast("double").alias("n"))
-    total = counted.groupBy("source", "line").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")
+    node = F.xxhash64("source", "content").alias("node")
+    lines = figures.select("source", node, F.explode("lines.line").alias("line"))
+
+    def often(votes: DataFrame, name: str) -> DataFrame:
+        counted = votes.distinct().groupBy("source", "line").agg(F.count("*").alias("n"))
+        return stored(counted.where(F.col("n") >= min_documents).select("source", "line"), name)
+
+    # A line has no more classes than different texts, so near copies are sought for few texts.
+    likely = often(lines, "likely-lines")
+    carriers = look_up(lines, likely, ["source", "line"], spread=["node"], how="inner")
+    carriers = stored(carriers.select("source", "line", "node").distinct(), "line-carriers")
+    texts = figures.select(node, "source", "sketch").groupBy("node").agg(
+        F.first("source").alias("scope"), F.first("sketch").alias("sketch")
     )
-    often = F.col("n") * F.col("n") >= min_documents * F.col("squares")
-    return stored(total.where(often).select("source", "line"), "frequent-lines")
+    texts = stored(texts.join(carriers.select("node").distinct(), "node", "left_semi"), "line-texts")
+    roots = stored(components(near_links(texts), "line-classes"), "line-roots")
+    named = look_up(carriers, roots, ["node"], spread=["line"])
+    return often(named.select("source", "line", F.coalesce("root", "node").alias("class")), "frequent-lines")
 
 
 def verdicts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -165,7 +156,7 @@ def verdicts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
         .groupBy("row")
         .agg(F.sum("words").alias("removed_words"), F.flatten(F.collect_list("at")).alias("removed_lines"))
     )
-    joined = figures.drop("lines").join(removed, "row", "left")
+    joined = figures.drop("lines", "sketch").join(removed, "row", "left")
     n_removed = F.coalesce("removed_words", F.lit(0))
     depleted = n_removed > MAX_REMOVED * F.col("n_words")
     return joined.withColumns(

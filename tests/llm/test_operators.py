@@ -1,6 +1,7 @@
 """Every operator against a plain form of its definition, over a fixture of odd cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,20 @@ def test_depleted_documents_are_rejected(spark):
     assert [r.kept for r in line_frequency.digest(df).collect()] == [False] * 40
 
 
+@pytest.mark.parametrize("shared, own, copies", [(1, 5, 45), (5, 5, 0), (10, 5, 0), (3, 1, 0)])
+def test_shared_lines_of_distinct_documents_are_found(spark, words, shared, own, copies):
+    """Copies and near copies of one document hide no line, and mostly shared pages lose theirs."""
+    draw = random.Random(shared)
+    line = lambda: " ".join(draw.choices(words, k=20))
+    footer = [line() for _ in range(shared)]
+    texts = ["\n".join(footer + [line() for _ in range(own)]) for _ in range(60)]
+    texts += [texts[0]] * copies
+    texts += [f"{texts[0]} changed{i}" for i in range(copies)]
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    removed = {r.removed_words for r in line_frequency.digest(df).collect()}
+    assert removed == {20 * shared}
+
+
 def spans_of(text, rules):
     out = []
     for rank, rule in enumerate(rules):
