@@ -8,7 +8,8 @@ page's, and are removed.  Copies of one article count as one page.
 
 Entropy needs repetition: a menu or advert that differs on every page is as surprising as
 an article.  So elements whose tag, role or mark says that they are no content (a fixed
-list) are never content nodes, and where a page marks its article, other parts are not.
+list) are left out, and where a page marks its article, other parts are.  Marks are whole
+names of a class or id, and html, body, main and article are never furniture.
 """
 
 from __future__ import annotations
@@ -44,8 +45,19 @@ MARKS = frozenset(
     "breadcrumbs sidebar footer cookie cookies consent notice newsletter subscribe popup modal overlay comment "
     "comments respond disqus share sharing social related widget toolbar pagination pager skip".split()
 )
+# Whole names of several words; their first word alone says little (``social-policy``).
+COMPOUNDS = frozenset(
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper ads-container banner-ad comment-form comment-list "
+    "comments-area comments-list comments-section cookie-banner cookie-bar cookie-consent cookie-notice "
+    "footer-menu footer-nav footer-widgets menu-bar menu-container menu-item menu-main nav-bar nav-links nav-menu "
+    "newsletter-form newsletter-signup related-articles related-links related-posts share-buttons share-links "
+    "sidebar-left sidebar-right sidebar-widget site-footer page-footer skip-link skip-to-content social-icons "
+    "social-links social-media social-share sponsored-content widget-area".split()
+)
 HEADERS = frozenset("header masthead site-header page-header topbar".split())
 ARTICLE = frozenset(("article", "main"))
+# Elements that hold the page's content whatever their class or id says.
+HOLDERS = frozenset(("html", "body", *ARTICLE))
 CLOSES_P = BLOCK - {"html", "body", "head"}
 PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -75,10 +87,12 @@ def _marks(attributes: str) -> tuple[str, str]:
 def _furniture(tag: str, marks: str, role: str, in_article: bool) -> bool:
     if tag in NO_CONTENT or role in ROLES:
         return True
+    if tag in HOLDERS:
+        return False
     words = marks.split()
     if not in_article and (tag == "header" or HEADERS.intersection(words)):
         return True
-    return any(w in MARKS or w.replace("_", "-").split("-")[0] in MARKS for w in words)
+    return any(w in MARKS or w.replace("_", "-") in COMPOUNDS for w in words)
 
 
 class _Page:
@@ -104,7 +118,14 @@ class _Page:
                 raw = self._tag(found[2].lower(), bool(found[1]), found[3])
         self._flush()
 
+    def _end_head(self) -> None:
+        """Text and elements of a body end a head whose end tag is left out."""
+        if self.stack and self.stack[-1]["tag"] == "head":
+            self.stack.pop()
+
     def _words(self, text: str) -> None:
+        if text.strip():
+            self._end_head()
         if text and not (self.stack and self.stack[-1]["out"]):
             self.text.append(unescape(text))
 
@@ -132,6 +153,7 @@ class _Page:
         if tag in RAW:
             return "" if attributes.endswith("/") and tag in ("svg", "math") else tag
         self._flush()
+        self._end_head()
         if tag in CLOSES_P and self.stack and self.stack[-1]["tag"] == "p":
             self.stack.pop()
         for i in range(len(self.stack) - 1, -1, -1):

@@ -360,6 +360,21 @@ def test_site_tree_removes_what_a_host_repeats(spark):
     assert all(out[100 + i] == "Same\n\nsame" for i in range(9))
 
 
+@pytest.mark.parametrize("html", [
+    '<body class="sidebar-right"><p>told</p></body>', '<body class="menu-open"><p>told</p></body>',
+    '<html class="sidebar"><body><p>told</p></body></html>', '<main id="social"><p>told</p></main>',
+    '<article class="comments-open"><p>told</p></article>', '<div id="social-policy"><p>told</p></div>',
+    "<html><head><title>t</title><body><p>told</p></body></html>", "<head><meta name=a><p>told</p>", "<head><title>t</title>told",
+])
+def test_content_holders_are_no_furniture(html):
+    assert [b["text"] for b in site_tree.parse(html)[0]] == ["told"]
+
+
+def test_compound_names_of_furniture():
+    for name in ("cookie-banner", "nav_menu", "related-posts", "sidebar-right"):
+        assert not site_tree.parse(f'<div class="{name}"><p>no</p></div>')[0]
+
+
 def test_hostile_html_takes_linear_time():
     import time
 
