@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitestance.llm.alike import near_links, sketch
 from sitestance.llm.common import components, fresh, look_up, stored
 
 SHINGLE = 3
@@ -186,36 +187,64 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def _row_batches(likeness: float | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            prints = np.frombuffer(b"".join(map(fingerprint, texts)), ">i8").astype(np.int64)
+            sketches = [
+                None if likeness is None else sketch((t or "").encode("utf-8", "surrogatepass")) for t in texts
+            ]
+            columns = [batch.column(0), batch.column(1), pa.array(prints), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "fp", "sketch"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, likeness: float | None = None) -> DataFrame:
     """The documents, with their columns, but only the one of least id of every group.
 
-    Of repeated rows one stays.  Rows without id stay only if nobody in their group has
-    an id, one for each fingerprint.
+    Groups are those of fingerprints; with ``likeness``, texts that share at least so much of
+    their five-word shingles (estimated, see ``alike``) are linked as well.  One row stays of
+    every group, also where its id comes again with another text.  A row without id stays only
+    if nobody in its group has an id.
     """
-    members = stored(near_duplicates(docs), "near-duplicates")
-    others = members.where("doc_id is null or not (doc_id <=> component_id)").select("doc_id").distinct()
-    others = stored(others.where("doc_id is not null"), "dropped")
-    mark = fresh(docs, "_dropped")
-    left = look_up(
-        docs, others.select("doc_id", F.lit(True).alias(mark)), ["doc_id"], spread=["doc_id"]
-    ).where(F.col(mark).isNull())
-    left = left.drop(mark)
-    again = members.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if again.isEmpty():
-        return left
-    return _single_rows(left, members)
-
-
-def _single_rows(left: DataFrame, members: DataFrame) -> DataFrame:
-    """One row for each id; of rows without id those of groups without any, one per text."""
-    with_id = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    name = fresh(left, "_fp")
-    nameless = members.where("doc_id is null and component_id is null").select(F.col("fp").alias(f"{name}_"))
-    nameless = nameless.distinct()
-    if nameless.isEmpty():
-        return with_id
-    free = left.where("doc_id is null")
-    prints = F.udf(lambda t: int.from_bytes(fingerprint(t), "big", signed=True), "bigint")
-    tagged = free.withColumn(name, prints("text")).dropDuplicates([name])
-    kept = tagged.join(nameless, F.col(name) == F.col(f"{name}_"), "left_semi").drop(name)
-    return with_id.unionByName(kept)
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), content.alias("content"), "text")
+    schema = "doc_id bigint, content bigint, fp bigint, sketch binary"
+    rows = stored(narrow.mapInArrow(_row_batches(likeness), schema), "near-rows")
+    texts = rows.groupBy("content").agg(
+        F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")
+    )
+    texts = stored(texts, "near-texts")
+    nodes = stored(components(links(rows.select("fp").distinct()), "components"), "near-nodes")
+    # A group goes by its root, the least of its fingerprints.
+    named = look_up(texts, nodes.withColumnRenamed("node", "fp"), ["fp"], spread=["content"])
+    named = stored(named.withColumn("root", F.coalesce("root", "fp")), "near-roots")
+    if likeness is not None:
+        scoped = stored(named.select(F.col("content").alias("node"), F.lit(None).cast("string").alias("scope"), "sketch"), "near-sketches")
+        found = stored(near_links(scoped, likeness), "near-links")
+        ends = named.select(F.col("content").alias("end"), F.col("root").alias("of_end"))
+        edges = found.join(ends, F.col("a") == F.col("end")).select(F.col("of_end").alias("a"), "b")
+        edges = look_up(edges.withColumnRenamed("b", "end"), ends, ["end"], spread=["a"], how="inner")
+        merged = components(edges.select("a", F.col("of_end").alias("b")), "near-merged")
+        merged = stored(merged.select(F.col("node").alias("root"), F.col("root").alias("whole")), "near-wholes")
+        named = look_up(named, merged, ["root"], spread=["content"])
+        named = named.withColumn("root", F.coalesce("whole", "root"))
+    first = F.min(F.struct(F.col("least").isNull(), "least", "content")).alias("first")
+    stays = named.groupBy("root").agg(first).select(
+        F.col("first.least").alias("_id"), F.col("first.content").alias("_content")
+    )
+    stays = stored(stays, "near-stays")
+    one = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    goes = stored(rows.select("doc_id", "content").distinct().join(stays, one, "left_anti"), "dropped")
+    names = {n: fresh(docs, n) for n in ("_id", "_content", "_dropped")}
+    keys = [names["_id"], names["_content"]]
+    tagged = docs.withColumns({names["_id"]: F.col("doc_id").cast("bigint"), names["_content"]: content})
+    goes = goes.select(
+        F.col("doc_id").alias(names["_id"]), F.col("content").alias(names["_content"]), F.lit(True).alias(names["_dropped"])
+    )
+    left = look_up(tagged, goes, keys, spread=keys).where(F.col(names["_dropped"]).isNull())
+    if not rows.groupBy("doc_id", "content").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(keys)
+    return left.select(*docs.columns)

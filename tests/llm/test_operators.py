@@ -56,6 +56,23 @@ def test_one_of_each(docs, rows):
     assert ids.count(None) == 1
 
 
+def test_one_of_each_by_likeness(spark, words):
+    """Copies with some words replaced go although their fingerprints lie further apart."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(60):
+        text = draw.choices(words, k=200)
+        near = list(text)
+        for at in (60, 130):
+            near[at] = "changed"
+        rows += [(i, " ".join(text)), (100 + i, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: int.from_bytes(simhash.fingerprint(t), "big") for i, t in rows}
+    assert sum((prints[i] ^ prints[100 + i]).bit_count() > 3 for i in range(60)) > 5
+    kept = {r.doc_id for r in simhash.one_of_each(docs, likeness=0.8).collect()}
+    assert kept == set(range(60))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ball_hashing_finds_every_link(spark, seed):
     draw = np.random.default_rng(seed)
