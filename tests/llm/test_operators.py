@@ -73,6 +73,14 @@ def test_one_of_each_by_likeness(spark, words):
     assert kept == set(range(60))
 
 
+def test_one_of_each_with_reused_ids(spark, words):
+    """An id that comes with two texts goes only with the text that another row stands for."""
+    draw = random.Random(9)
+    a, b = (" ".join(draw.choices(words, k=200)) for _ in range(2))
+    docs = spark.createDataFrame([(5, a), (5, b), (1, b.upper())], "doc_id long, text string")
+    assert pairs(simhash.one_of_each(docs)) == sorted([(1, b.upper()), (5, a)], key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ball_hashing_finds_every_link(spark, seed):
     draw = np.random.default_rng(seed)
