@@ -11,10 +11,12 @@ from sitestance.llm import (
     minhash,
     mixing,
     packing,
+    phrases,
     secrets,
     sharding,
     simhash,
     site_tree,
+    spelling,
     suffix_dedup,
     toxicity,
 )
@@ -42,8 +44,11 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": _over("documents", simhash.digest),
     "op9_suffix_dedup": _over("documents", suffix_dedup.dedup),
     "op10_mixing": _over("documents", mixing.mix),
+    "op11_spelling": _over("documents", spelling.variants),
+    "op13_phrases": _over("documents", phrases.collocations),
 }
 ORACLE: dict[str, str] = {
     "op4_secrets": secrets.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
