@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # A looked-up side goes to every executor only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 1_000_000
 SALTS = 32
+# A key is spread over SALTS partitions from so many rows on; at most so many keys, the hottest, are.
+HOT_ROWS = 10_000
+MOST_HOT = 100_000
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -46,10 +49,6 @@ def salt_of(*columns: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
-def all_salts(salts: int = SALTS) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-
-
 def look_up(
     rows: DataFrame,
     table: DataFrame,
@@ -64,17 +63,36 @@ def look_up(
 
     ``table`` is counted first and sent to every executor if it has at most ``most`` rows
     (or values, where rows hold arrays and ``weight`` counts them).
-    Otherwise both sides are shuffled, every key over ``salts`` partitions, drawn from the
-    columns ``spread`` of ``rows``; so a key with a third of all rows stays even.  Both
-    ways give the same rows.
+    Otherwise both sides are shuffled (``join_spread``).  Both ways give the same rows.
     """
     if (table.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0) <= most:
         other = F.broadcast(_renamed(table, keys))
         return rows.join(other, _same(keys), how).drop(*[f"_k_{k}" for k in keys])
-    salted = rows.withColumn("_salt", salt_of(*[F.col(c) for c in spread], salts=salts))
-    copies = _renamed(table, keys).select("*", all_salts(salts).alias("_k__salt"))
+    return join_spread(rows, table, keys, spread, how, salts)
+
+
+def join_spread(
+    rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], how: str = "left", salts: int = SALTS
+) -> DataFrame:
+    """Join ``rows`` to the one row of ``table`` with the same keys, both sides shuffled.
+
+    Rows of a hot key are dealt over ``salts`` partitions by the columns ``spread``, and only
+    that key's row of ``table`` is copied as often; so the copies follow the number of hot rows.
+    """
+    many = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT_ROWS)
+    hot = stored(many.orderBy(F.desc("_n")).limit(MOST_HOT).select(*keys, F.lit(True).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(_renamed(table, keys), _same(keys), how).drop(*[f"_k_{k}" for k in keys])
+    listed = F.broadcast(_renamed(hot, keys))
+    names = [f"_k_{k}" for k in keys]
+    salted = rows.join(listed, _same(keys), "left").drop(*names)
+    draw = F.when(F.col("_hot"), salt_of(*[F.col(c) for c in spread], salts=salts)).otherwise(F.lit(0))
+    salted = salted.withColumn("_salt", draw).drop("_hot")
+    copies = table.join(listed, _same(keys), "left").drop(*names)
+    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
+    copies = _renamed(copies.withColumn("_k__salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot"), keys)
     joined = salted.join(copies, _same(keys) & (F.col("_salt") == F.col("_k__salt")), how)
-    return joined.drop("_salt", "_k__salt", *[f"_k_{k}" for k in keys])
+    return joined.drop("_salt", "_k__salt", *names)
 
 
 def _renamed(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,9 +158,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     mark = _mark(current)
     while True:
         both = current.union(current.select("b", "a"))
-        large = _to_least(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = _to_least(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a <> b").distinct(), name)
-        small = _to_least(large).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        small = _to_least(large, 2 * mark[0]).select(F.col("v").alias("a"), F.col("m").alias("b"))
         own = large.groupBy("a").agg(F.min("b").alias("b"))
         current = stored(small.union(own).where("a <> b").distinct(), name)
         before, mark = mark, _mark(current)
@@ -151,17 +169,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return roots.union(current.select("b", "b").distinct())
 
 
-def _to_least(pairs: DataFrame) -> DataFrame:
-    """For each pair (u, v): u, v and the least of u and its partners; hot nodes are spread."""
+def _to_least(pairs: DataFrame, most: int) -> DataFrame:
+    """For each pair (u, v): u, v and the least of u and its partners; ``most`` pairs at most.
+
+    Nodes of many partners are spread; where no node can have that many, nothing is.
+    """
     u, v = pairs.columns
     pairs = pairs.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("w"), F.least("u", "m").alias("m"), all_salts()
-    )
-    salted = pairs.withColumn("_draw", salt_of(F.col("v")))
-    return salted.join(least, (F.col("u") == F.col("w")) & (F.col("_draw") == F.col("_salt"))).select(
-        "u", "v", "m"
-    )
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    if most < HOT_ROWS:
+        return pairs.join(least, "u").select("u", "v", "m")
+    return join_spread(pairs, least, ["u"], ["v"], "inner").select("u", "v", "m")
 
 
 def _mark(edges: DataFrame) -> tuple:

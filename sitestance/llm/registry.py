@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitestance.llm import (
+    hyper_minhash,
     line_frequency,
     minhash,
     mixing,
@@ -45,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": _over("documents", suffix_dedup.dedup),
     "op10_mixing": _over("documents", mixing.mix),
     "op11_spelling": _over("documents", spelling.variants),
+    "op12_hyperminhash": _over("documents", hyper_minhash.near_duplicates),
     "op13_phrases": _over("documents", phrases.collocations),
 }
 ORACLE: dict[str, str] = {
