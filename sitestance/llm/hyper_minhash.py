@@ -7,11 +7,10 @@ fours: two sets of likeness 0.8 share none of the 32 bands once in 2 * 10^7 pair
 
 Texts that share a band are candidates.  Their likeness is estimated from equal registers, less
 the matches that chance makes among registers so compressed, and only a pair that could still
-reach 0.8 (five standard errors) is verified, by the full sets of both texts.
+reach 0.8 (five standard errors off) is verified, by the full sets of both texts.
 
-Candidates are compared without forming all pairs.  First each text meets one head of each
-of its bands, another one from band to band; its likeliest head is verified, and what is
-linked forms a component.  A band whose texts all lie in one component needs nothing more.  In the
+Candidates are compared without forming all pairs.  First each text meets the head of each
+of its bands; its likeliest head is verified, and what is linked forms a component.  A band whose texts all lie in one component needs nothing more.  In the
 others the texts outside the band's largest component are compared with all of the band,
 block by block, so that no pair of two components is left out; only likely pairs become rows.
 """
@@ -43,7 +42,6 @@ REMEMBERED = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - REGISTER_BITS)
-_ORDERS = np.random.default_rng(12).integers(0, 1 << 62, 8, dtype=np.int64).tolist()
 # Text weighs so many characters a row where a table is measured before it is broadcast.
 _CHARS = 64
 
@@ -109,11 +107,20 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows could reach the threshold, by size and by estimate, and the estimates."""
+    """Which rows could reach the threshold, and the estimates.
+
+    Sizes and the registers that differ must allow it: each of those holds a shingle that only one
+    set has.  Within that the estimate may be off by ERRORS; the fewer shingles the union can
+    have, the more of them the registers show and the smaller is the error.
+    """
     least = THRESHOLD / 100
     found, used = estimate(a, b, n, m)
     sizes = 100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
-    return sizes & (found >= least - ERRORS * np.sqrt(least * (1 - least) / used)), found
+    apart = ((a != b).sum(axis=1)) * (100 + THRESHOLD) <= (100 - THRESHOLD) * (n + m)
+    union = (n + m) / (1 + least)
+    unseen = np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
+    error = np.sqrt(least * (1 - least) / used * unseen) + 1 / (n + m)
+    return sizes & apart & (found >= least - ERRORS * error), found
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +192,28 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """``node, key, order`` of every text and each of its bands that is not empty."""
+    """``node, key`` of every text and each of its bands that is not empty."""
     zeros = F.unhex(F.lit("0" * 4 * WIDTH))
     keys = []
     for i in range(BANDS):
         band = F.substring("sketch", 2 * WIDTH * i + 1, 2 * WIDTH)
         keys.append(F.when(band != zeros, F.xxhash64(band, F.lit(i))))
-    rows = texts.select("node", F.posexplode(F.array(*keys)).alias("band", "key")).where("key is not null")
-    order = F.element_at(F.array(*map(F.lit, _ORDERS)), F.col("band") % len(_ORDERS) + 1)
-    return rows.select("node", "key", order.alias("order"))
+    return texts.select("node", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+
+
+def _headed(rows: DataFrame) -> DataFrame:
+    """``node, key, head`` of the members of shared bands.
+
+    The head is the text that has most company in all its bands: of a group of near copies, the
+    one from which the others stem.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(look_up(rows, stored(sizes, "hyper-keys"), ["key"], ["node"], "inner"), "hyper-shared")
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    known = met.select("node", "key").join(company, "node")
+    heads = known.groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", "top.node")
+    heads = stored(heads.withColumnRenamed("node", "head"), "hyper-band-heads")
+    return stored(look_up(met.drop("n"), heads, ["key"], ["node"], "inner"), "hyper-met")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +265,7 @@ def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, root`` of every text that is linked to another."""
-    rows = stored(_members(texts), "hyper-bands")
-    drawn = F.col("node").bitwiseXOR(F.col("order"))
-    heads = rows.groupBy("key", "order").agg(F.min(drawn).alias("least"), F.max(drawn).alias("most"))
-    heads = heads.where("least < most").select("key", F.col("least").bitwiseXOR(F.col("order")).alias("head"))
-    met = stored(look_up(rows.drop("order"), stored(heads, "hyper-keys"), ["key"], ["node"], "inner"), "hyper-met")
+    met = _headed(stored(_members(texts), "hyper-bands"))
     pairs = met.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     near = _estimated(stored(pairs, "hyper-pairs"), texts)
     best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("best")).select("a", "best.b")

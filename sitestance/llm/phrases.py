@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from sitestance.llm.common import look_up, salt_of, stored
 
 SUPPORT = 100
 LONGEST = 5
+# Lengths that are mined together; few phrases pass the third level.
+LEVELS = ((1,), (2,), (3,), (4, 5))
 TOP = 2000
 SHARDS = 8
 # Positions whose counts a task gathers before it hands them on.
@@ -170,21 +173,41 @@ def _lang_seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
 
-def _local(level: int, below: bytes | None):
-    """Partial counts ``(shard, h, need, n)`` of phrases of ``level`` words whose parts ``below`` holds."""
+def _counts(ids: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different words of some positions: numbers, hashes and counts."""
+    counts = np.bincount(ids, minlength=1)
+    counts[0] = 0
+    found = np.flatnonzero(counts)
+    return found, np.array(words.hashes)[found], counts[found]
+
+
+def _local(levels: tuple[int, ...], below: bytes | None):
+    """Partial counts ``(shard, h, need, n)`` of phrases of so many words.
+
+    Their parts of the length under the first of ``levels`` must all be in the filter ``below``.
+    """
     names = ["shard", "h", "need", "n"]
 
+    def partial(ids: np.ndarray, words: Words, lang: str, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if below is None:
+            _, hashes, counts = _counts(ids, words)
+            yield mix(hashes + np.uint64(_lang_seed(lang))), counts
+            return
+        often = None
+        for k, (h, whole) in enumerate(phrase_hashes(np.array(words.hashes)[ids], _lang_seed(lang), levels[-1]), 1):
+            if k == levels[0] - 1:
+                often = Filter(below).holds(shard_key(h, shard))
+            elif k in levels:
+                often = often[: len(h)] & often[1 : len(h) + 1]
+                h = np.sort(h[whole & often])
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                yield h[first], np.diff(np.append(first, len(h)))
+
     def emit(words: Words, lang: str, shard: int, need: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        *_, parts, (h, whole) = [(None, None), *phrase_hashes(np.array(words.hashes)[ids], _lang_seed(lang), level)]
-        if below is not None:
-            often = Filter(below).holds(shard_key(parts[0], shard))
-            whole = whole & often[: len(h)] & often[1 : len(h) + 1]
-        h = np.sort(h[whole])
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(first, len(h)))
-        fixed = [pa.array(np.full(len(first), v, t)) for v, t in ((shard, np.int32), (need, np.int64))]
-        columns = [fixed[0], pa.array(h[first].view(np.int64)), fixed[1], pa.array(counts)]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        for h, counts in partial(ids, words, lang, shard):
+            fixed = [pa.array(np.full(len(h), v, t)) for v, t in ((shard, np.int32), (need, np.int64))]
+            columns = [fixed[0], pa.array(h.view(np.int64)), fixed[1], pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return _gather(emit)
 
@@ -197,8 +220,15 @@ def _exact(candidates: bytes):
     def emit(words: Words, lang: str, shard: int, need: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         wanted = Filter(candidates)
         hashes = np.array(words.hashes)[ids]
-        phrases, sizes, counts = [""], [0], [int(np.count_nonzero(ids))]
+        name = words.names.__getitem__
+        found, own, counts = _counts(ids, words)
+        known = wanted.holds(mix(own + np.uint64(_lang_seed(lang))))
+        phrases = [""] + [name(i).decode("utf-8", "surrogatepass") for i in found[known].tolist()]
+        sizes = [0] + [1] * (len(phrases) - 1)
+        counts = [int(counts.sum())] + counts[known].tolist()
         for k, (h, whole) in enumerate(phrase_hashes(hashes, _lang_seed(lang), LONGEST), 1):
+            if k == 1:
+                continue
             at = np.flatnonzero(whole)
             at = at[wanted.holds(h[at])]
             at = at[np.argsort(h[at], kind="stable")]
@@ -211,7 +241,6 @@ def _exact(candidates: bytes):
             first = np.flatnonzero(np.concatenate([[True], differs])) if len(at) else np.zeros(0, np.int64)
             counts += np.diff(np.append(first, len(at))).tolist()
             sizes += [k] * len(first)
-            name = words.names.__getitem__
             phrases += [b" ".join(map(name, row)).decode("utf-8", "surrogatepass") for row in rows[first].tolist()]
         columns = [[lang] * len(counts), phrases, sizes, counts]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], names)
@@ -237,20 +266,17 @@ def dealt(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> Data
 
 
 def mined(rows: DataFrame) -> DataFrame:
-    """``shard, h`` of every phrase that is frequent in a shard, by level."""
-    levels, below = [], None
-    for level in range(1, LONGEST + 1):
-        partial = rows.mapInArrow(_local(level, below), "shard int, h bigint, need bigint, n bigint")
+    """``shard, h`` of every phrase that is frequent in a shard."""
+    found, below = [], None
+    for levels in LEVELS:
+        partial = rows.mapInArrow(_local(levels, below), "shard int, h bigint, need bigint, n bigint")
         summed = partial.groupBy("shard", "h").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-        often = stored(summed.where("n >= need").select("shard", "h"), f"phrase-level-{level}")
-        levels.append(often)
+        often = stored(summed.where("n >= need").select("shard", "h"), f"phrases-of-{levels[0]}")
+        found.append(often)
         if often.isEmpty():
             break
         below = bloom(often, by_shard=True)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
+    return reduce(DataFrame.union, found)
 
 
 def counted(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> DataFrame:
