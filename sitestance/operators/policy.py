@@ -144,11 +144,49 @@ def resolve_redirects(
 
     Each hop writes its narrow outcome to a table in the shared folder.  That cuts
     the lineage, so a hop costs one join whatever its number; only the rows still
-    redirected go on, and the loop ends as soon as none are left.
+    redirected go on, and the loop ends as soon as none are left.  The log is shuffled
+    once, when it is stored in buckets by key; see :func:`_looked_up`.
     """
     spark = fetches.sparkSession
     folder = f"{shared_dir(spark)}/redirects-{uuid.uuid4().hex}"
-    log = _written(latest(fetches), f"{folder}/log")
+    name = f"redirects_{uuid.uuid4().hex}"
+    log = _bucketed(latest(fetches), "fetch_key", f"{folder}/log", name)
+    try:
+        return _followed(log, starts, known, folder)
+    finally:
+        # Files stay in the folder; the name is not needed any more.
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _bucketed(df: DataFrame, key: str, folder: str, name: str) -> DataFrame:
+    """The table, stored in as many buckets by ``key`` as a shuffle has partitions."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", folder)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def _looked_up(open_rows: DataFrame, rows_open: int, log: DataFrame) -> DataFrame:
+    """Left join of open rows with the bucketed log on ``fetch_key``; the log is never shuffled.
+
+    Few open rows go to every task, and only the log rows that they ask for come back.
+    Many are shuffled into the log's buckets, but for those of the hottest keys, which stay where
+    they are: their log rows, HOT_KEYS at most, go to them.
+    """
+    key = "fetch_key"
+    if rows_open <= skew.PLAIN_ROWS:
+        asked = F.broadcast(open_rows.select(key).distinct())
+        return open_rows.join(F.broadcast(log.join(asked, key, "left_semi")), key, "left")
+    hot = skew.hot_keys(open_rows, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    spread = open_rows.where(is_hot).join(F.broadcast(log.where(F.col(key).isin(hot))), key, "left")
+    return spread.unionByName(open_rows.where(~is_hot).join(log.hint("merge"), key, "left"))
+
+
+def _followed(
+    log: DataFrame, starts: DataFrame, known: DataFrame | None, folder: str
+) -> DataFrame:
+    """The hops of :func:`resolve_redirects`."""
     counted = Observation()
     open_rows = _written(
         starts.select(
@@ -263,9 +301,7 @@ def _hop(log: DataFrame, known: DataFrame | None):
             looked = skew.counted_join(keyed, rows_open, results, "known_key", ["origin"])
         else:
             looked = open_rows.withColumn("_known", none)
-        joined = skew.counted_join(
-            looked.withColumn("fetch_key", log_key), rows_open, log, "fetch_key", ["origin"]
-        )
+        joined = _looked_up(looked.withColumn("fetch_key", log_key), rows_open, log)
         staged = joined.withColumn("state", first_state).withColumn("reference", reference)
         settled = add_target(staged).withColumn("state", state)
         return settled.select("origin", "kind", "url", "target", *result)

@@ -395,10 +395,13 @@ def rule_sets(parsed: DataFrame, agents: list[str] | None = None) -> DataFrame:
     others = F.array_except(listed, named)
 
     def one(names: Column, key: Column) -> Column:
-        return F.struct(names.alias("agents"), rules_for(groups, key).alias("rules"))
+        return F.struct(names.alias("agents"), match.index(rules_for(groups, key)).alias("rules"))
 
     shared_names = F.when(ref_named, others).otherwise(F.concat(F.array(F.lit(reference)), others))
     shared = one(shared_names, F.lit(ASTERISK))
+    def binding(s: Column) -> Column:
+        return F.size(s["rules"]["literal"]) + F.size(s["rules"]["wild"]) > 0
+
     sets = F.concat(
         F.array(shared),
         F.transform(own, lambda a: one(F.array(a), a)),
@@ -406,11 +409,11 @@ def rule_sets(parsed: DataFrame, agents: list[str] | None = None) -> DataFrame:
             F.array().cast(SETS_TYPE)
         ),
     )
-    return parsed.withColumn("rule_sets", F.filter(sets, lambda s: F.size(s["rules"]) > 0))
+    return parsed.withColumn("rule_sets", F.filter(sets, binding))
 
 
 GROUPS_TYPE = "array<struct<agents:array<string>,rules:array<struct<allow:boolean,pattern:string>>>>"
-SETS_TYPE = f"array<struct<agents:array<string>,rules:array<{match.RULE_TYPE}>>>"
+SETS_TYPE = f"array<struct<agents:array<string>,rules:{match.INDEX_TYPE}>>"
 
 
 def judge(path: Column, sets: Column) -> Column:

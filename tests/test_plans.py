@@ -1,8 +1,11 @@
 """What the physical plans must and must not hold."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from sitestance.operators import html, metadata, robots
+from sitestance.operators import html, metadata, policy, robots, skew
 from sitestance.plans import catalog, corpora
 
 
@@ -40,3 +43,33 @@ def test_no_pairing_and_no_python(spark, sf_dir, name):
 def test_study_counts_shuffle_once(spark, sf_dir):
     text = plan(catalog.CATALOG["q6_directive_frequency"](spark, sf_dir))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_verdicts_build_no_pattern_from_rows(spark, sf_dir):
+    """Every expression that is matched is a constant of the plan."""
+    probes = corpora.read(spark, sf_dir, "pages").selectExpr("page_id AS doc_id", "url AS path")
+    sets = robots.rule_sets(robots.parse(corpora.robots(spark, sf_dir))).select("doc_id", "rule_sets")
+    judged = probes.join(sets, "doc_id").select(robots.judge(F.col("path"), F.col("rule_sets")).alias("denied"))
+    text = judged._jdf.queryExecution().optimizedPlan().toString()
+    judging = text[: text.index("Join")]
+    assert "position" in judging or "locate" in judging
+    assert not re.search(r"RLIKE\([^,]*, (?:concat|lambda|namedlambda)", judging, re.I)
+    assert "regexp_extract(" not in judging
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_redirects_shuffle_the_stored_log_never(spark, tmp_path, monkeypatch, few):
+    """Open rows come to the log: broadcast if they are few, else into its buckets."""
+    log = spark.range(3000).selectExpr("concat('robots http://h', id, '/') AS fetch_key", "named_struct('status', 200) AS _log")
+    stored = policy._bucketed(log, "fetch_key", str(tmp_path / "log"), f"log_{few}")
+    rows = spark.range(9000).selectExpr(
+        "id AS origin", "CASE WHEN id % 3 = 0 THEN 'robots http://h1/' ELSE concat('robots http://h', id, '/') END AS fetch_key"
+    )
+    monkeypatch.setattr(skew, "PLAIN_ROWS", 10_000 if few else 100)
+    joined = policy._looked_up(rows, 9000, stored)
+    text = plan(joined)
+    assert "Bucketed: true" in text or few
+    # One shuffle at most for the open rows (their keys, where they are few).
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 1
+    expected = rows.join(log, "fetch_key", "left")
+    assert joined.exceptAll(expected.select(joined.columns)).isEmpty() and joined.count() == 9000

@@ -1,5 +1,8 @@
 """Golden cases for robots.txt documents."""
 
+import random
+import re
+
 import pytest
 
 from sitestance.functions import match
@@ -180,7 +183,7 @@ def test_rule_matching(spark):
     )
     judged = df.withColumn("c", compiled).select(
         "i",
-        match.verdict(match.normalised(F.col("path")), F.col("c")).alias("walked"),
+        match.verdict(match.normalised(F.col("path")), match.index(F.col("c"))).alias("walked"),
         match.passes(match.normalised(F.col("path")), match.program(F.col("c"))).alias("folded"),
     )
     for r in judged.collect():
@@ -193,6 +196,42 @@ def test_hostile_rule_is_linear(spark):
     df = spark.createDataFrame([(rule, "/" + "a" * 3000 + "b")], "rules array<struct<allow:boolean,pattern:string>>, path string")
     compiled = match.in_priority_order(F.transform("rules", lambda r: match.compile_rule(r["pattern"], r["allow"])))
     assert df.select(match.passes(F.col("path"), match.program(compiled)).alias("ok")).first()["ok"]
+    assert df.select(match.verdict(F.col("path"), match.index(compiled)).alias("ok")).first()["ok"]
+
+
+def brute_verdict(rules, path):
+    """Every pattern as an expression; the longest decides, allow before disallow."""
+    fitting = [
+        (-len(p), not allow)
+        for allow, p in rules
+        if p and re.match(re.escape(p.removesuffix("$")).replace(r"\*", ".*") + (r"\Z" if p.endswith("$") else ""), path, re.S)
+    ]
+    return path == "/robots.txt" or not min(fitting, default=(0, False))[1]
+
+
+@pytest.mark.parametrize("size", [0, 1, 6, 40, 300])
+def test_verdicts_against_single_patterns(spark, size):
+    """Small sets are read through, large ones searched; many rules begin one another."""
+    draw = random.Random(size)
+
+    def pattern():
+        text = "/" + "".join(draw.choices("ab/", k=draw.randint(0, 7)))
+        if draw.random() < 0.4:
+            for _ in range(draw.randint(1, 3)):
+                at = draw.randint(0, len(text))
+                text = text[:at] + "*" + text[at:]
+        return text + "$" * (draw.random() < 0.15)
+
+    cases = []
+    for i in range(60):
+        rules = [(draw.random() < 0.5, pattern()) for _ in range(size)]
+        cases += [(10 * i + j, rules, "/" + "".join(draw.choices("ab/", k=draw.randint(0, 9)))) for j in range(10)]
+    rows = [(i, [{"allow": a, "pattern": p} for a, p in rules], path) for i, rules, path in cases]
+    df = spark.createDataFrame(rows, "i int, rules array<struct<allow:boolean,pattern:string>>, path string")
+    compiled = match.in_priority_order(F.transform("rules", lambda r: match.compile_rule(r["pattern"], r["allow"])))
+    found = df.select("i", match.verdict(F.col("path"), match.index(compiled)).alias("ok")).collect()
+    for r in found:
+        assert r["ok"] == brute_verdict(*cases[r["i"]][1:]), cases[r["i"]]
 
 
 def test_long_file(spark):
