@@ -169,18 +169,17 @@ def _bucketed(df: DataFrame, key: str, folder: str, name: str) -> DataFrame:
 def _looked_up(open_rows: DataFrame, rows_open: int, log: DataFrame) -> DataFrame:
     """Left join of open rows with the bucketed log on ``fetch_key``; the log is never shuffled.
 
-    Few open rows go to every task, and only the log rows that they ask for come back.
-    Many are shuffled into the log's buckets, but for those of the hottest keys, which stay where
+    Open rows are shuffled into the log's buckets (or the log is broadcast, where the optimizer
+    sees that it is small).  Where they are many, those of the hottest keys stay where
     they are: their log rows, HOT_KEYS at most, go to them.
     """
     key = "fetch_key"
-    if rows_open <= skew.PLAIN_ROWS:
-        asked = F.broadcast(open_rows.select(key).distinct())
-        return open_rows.join(F.broadcast(log.join(asked, key, "left_semi")), key, "left")
-    hot = skew.hot_keys(open_rows, key)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    hot = skew.hot_keys(open_rows, key) if rows_open > skew.PLAIN_ROWS else []
+    if not hot:
+        return open_rows.join(log, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     spread = open_rows.where(is_hot).join(F.broadcast(log.where(F.col(key).isin(hot))), key, "left")
-    return spread.unionByName(open_rows.where(~is_hot).join(log.hint("merge"), key, "left"))
+    return spread.unionByName(open_rows.where(~is_hot).join(log, key, "left"))
 
 
 def _followed(
