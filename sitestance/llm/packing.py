@@ -12,6 +12,7 @@ find their place by their number among the rests of their length.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -32,8 +33,10 @@ END_ID = 0
 # Combinations of three lengths that are tried, and steps of the least-squares solver.
 TRIPLES = 4096
 STEPS = 400
-# Different chunks of text whose ids a task remembers.
-REMEMBERED = 400_000
+# Bytes of chunks and ids that a task remembers, each entry with what it costs beside them.
+REMEMBERED, ENTRY = 32 << 20, 200
+# Rows that are taken out of an Arrow batch at once, and bytes of ids that are handed on together.
+ROWS, HANDED = 256, 4 << 20
 
 # White space as the tokenizer's expression has it; ids never span a chunk's edge.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,11 +72,13 @@ class _Ids(dict):
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.room = encode, REMEMBERED
 
     def __missing__(self, chunk: str) -> bytes:
         ids = array("I", self.encode(chunk)).tobytes()
-        if len(self) < REMEMBERED:
+        cost = ENTRY + len(chunk) + len(ids)
+        if cost <= self.room:
+            self.room -= cost
             self[chunk] = ids
         return ids
 
@@ -85,7 +90,8 @@ def _remembered(path: str) -> _Ids:
 
 @cache
 def _special(path: str) -> tuple[str, ...]:
-    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
+    with open(path, encoding="utf-8") as file:
+        return tuple(t["content"] for t in json.load(file)["added_tokens"])
 
 
 def token_ids(text: str, path: str) -> bytes:
@@ -108,9 +114,18 @@ def _tokenize(path: str, window: int):
         part, row = TaskContext.get().partitionId(), 0
         numbers = [0] * window
         size = 4 * window
-        for batch in batches:
+        kinds = (
+            pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()
+        )
+        names = "part row doc_id doc_tokens crcs rest number ids".split()
+
+        def handed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names)
+
+        for piece in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held = 0
+            for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 ids = token_ids(text or "", path)
                 whole = len(ids) // size
                 crcs = [zlib.crc32(ids[i * size : (i + 1) * size]) for i in range(whole)]
@@ -119,13 +134,12 @@ def _tokenize(path: str, window: int):
                 out.append((part, row, doc_id, len(ids) // 4, crcs, rest, numbers[rest], left))
                 numbers[rest] += 1
                 row += 1
+                held += len(left) + 8 * whole
+                if held >= HANDED:
+                    yield handed(out)
+                    out, held = [], 0
             if out:
-                kinds = (
-                    pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()
-                )
-                names = "part row doc_id doc_tokens crcs rest number ids".split()
-                arrays = [pa.array(v, k) for v, k in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                yield handed(out)
 
     return run
 
