@@ -23,20 +23,24 @@ def with_domain(
     """M2: the label before the longest public suffix, plus that suffix.
 
     ``suffixes(suffix, is_wildcard, is_exception)`` holds the rules without ``*.``
-    and ``!``; its deepest rule gives ``depth``.  Each of the last ``depth`` stretches of the host is looked up, so
-    the pages are never shuffled and a host with a third of all rows costs nothing
-    extra.  The table's size is checked before it is broadcast.
+    and ``!``; its deepest rule gives ``depth``.  Each of the last ``depth`` stretches of the host is looked up.
+    Up to SUFFIX_ROWS rules, counted first, the table is broadcast and no page is shuffled.  A larger
+    table is looked up once for each distinct host, not for each page: hosts are narrow and few, and
+    pages are shuffled once, to take their host's domain, hot hosts spread out.
     """
     if depth is None:
         labels = F.size(F.split("suffix", r"\.", -1))
         # The look-ups need one rung at least, two for their greatest().
         depth = max(2, suffixes.agg(F.max(labels)).first()[0] or 0)
+    _, small = skew.broadcast_if_small(suffixes, SUFFIX_ROWS)
+    if not small:
+        hosts = pages.select("host").where(F.col("host").isNotNull()).distinct()
+        return skew.lookup_join(pages, _domains_by_host(hosts, suffixes, depth), "host")
     flags = suffixes.groupBy("suffix").agg(
         F.bool_or(~F.col("is_wildcard") & ~F.col("is_exception")).alias("plain"),
         F.bool_or("is_wildcard").alias("wild"),
         F.bool_or("is_exception").alias("exempt"),
     )
-    _, small = skew.broadcast_if_small(suffixes, SUFFIX_ROWS)
     out = pages.withColumn("_labels", F.split("host", r"\.", -1))
     for n in range(1, depth + 1):
         key = f"_s{n}"
@@ -46,12 +50,7 @@ def with_domain(
         named = flags.select(
             F.col("suffix").alias(key), *[F.col(c).alias(f"_{c}{n}") for c in ("plain", "wild", "exempt")]
         )
-        keyed = out.withColumn(key, stretch)
-        out = (
-            keyed.join(F.broadcast(named), key, "left")
-            if small
-            else skew.lookup_join(keyed, named, key)
-        )
+        out = out.withColumn(key, stretch).join(F.broadcast(named), key, "left")
     total = F.size("_labels")
     # Number of labels in the public suffix: an exception shortens its rule by one,
     # a wildcard covers one label more; without any rule the last label counts.
@@ -61,16 +60,38 @@ def with_domain(
         *[F.when(F.col(f"_wild{n}") & (total > n), n + 1) for n in range(1, depth + 1)]
     )
     size = F.coalesce(exempt, F.greatest(plain, wild), F.lit(1))
-    address = F.col("host").rlike(r"^[0-9.]+$|^\[")
-    domain = F.when(
-        (total > size) & ~address, F.array_join(F.slice("_labels", -(size + 1), size + 1), ".")
-    ).when(address, F.col("host"))
+    domain = _domain(size)
     helpers = ["_labels"] + [
         f"_{c}{n}" for c in ("s", "plain", "wild", "exempt") for n in range(1, depth + 1)
     ]
     return out.withColumn("domain", domain).drop(*helpers)
 
 
+def _domain(size: Column) -> Column:
+    """One label more than the public suffix's ``size``; addresses stay whole."""
+    address = F.col("host").rlike(r"^[0-9.]+$|^\[")
+    owned = F.array_join(F.slice("_labels", -(size + 1), size + 1), ".")
+    return F.when((F.size("_labels") > size) & ~address, owned).when(address, F.col("host"))
+
+
+def _domains_by_host(hosts: DataFrame, suffixes: DataFrame, depth: int) -> DataFrame:
+    """M2 for distinct hosts: every stretch of labels is a row, and one join finds its rules."""
+    labels = F.split("host", r"\.", -1)
+    lengths = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth)))
+    stretches = hosts.select("host", F.size(labels).alias("total"), F.explode(lengths).alias("n"))
+    stretches = stretches.withColumn("suffix", F.array_join(F.slice(labels, -F.col("n"), F.col("n")), "."))
+    found = skew.lookup_join(stretches, suffixes.dropDuplicates(), "suffix", spread=["host"])
+    rule = ~F.col("is_wildcard") & ~F.col("is_exception")
+    wild = F.col("is_wildcard") & (F.col("total") > F.col("n"))
+    size = F.coalesce(
+        F.max(F.when(F.col("is_exception"), F.col("n") - 1)),
+        F.max(F.when(wild, F.col("n") + 1).when(rule, F.col("n"))),
+        F.lit(1),
+    )
+    sizes = found.groupBy("host").agg(size.alias("_size")).withColumn("_labels", labels)
+    return sizes.select("host", _domain(F.col("_size")).alias("domain"))
+
+
 def pick_headers(headers: Column, fields: dict[str, str] | None = None) -> Column:
     """M3: the wanted headers as ``array<struct<key, values>>``, absent ones left out."""
     chosen = config.HEADER_FIELDS if fields is None else fields

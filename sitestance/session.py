@@ -32,12 +32,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it.
 
-    A private folder is made only where ``spark.checkpoint.dir`` is unset, which
-    is the case in local tests.
+    A private folder is made only where ``spark.checkpoint.dir`` is unset and the session is a
+    local one, as in tests; on a cluster other machines would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="sitestance-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

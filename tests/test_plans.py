@@ -29,6 +29,23 @@ def test_domains_move_no_page(spark, sf_dir):
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
 
 
+def test_large_suffix_tables_shuffle_pages_once(spark, monkeypatch):
+    """However deep the rules are, pages meet one table: their hosts'."""
+    monkeypatch.setattr(metadata, "SUFFIX_ROWS", 0)
+    monkeypatch.setattr(skew, "hot_keys", lambda *_: [])
+    rules = spark.createDataFrame(
+        [("uk", False, False), ("co.uk", False, False), ("a.b.c.d.e", True, False)],
+        "suffix string, is_wildcard boolean, is_exception boolean",
+    )
+    hosts = ["x.y.co.uk", "y.uk", "uk", "1.2.3.4", None, "v.w.a.b.c.d.e", "a.b.c.d.e", "." .join("z" * 400)]
+    pages = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "id int, host string")
+    deep = metadata.with_domain(pages, rules)
+    joins = re.findall(r"^.*(?:HashJoin|MergeJoin|LoopJoin)", plan(deep), re.M)
+    assert len(joins) == 2  # pages with hosts, and hosts' stretches with rules
+    monkeypatch.setattr(metadata, "SUFFIX_ROWS", 100)
+    assert sorted(map(str, deep.collect())) == sorted(map(str, metadata.with_domain(pages, rules).select(deep.columns).collect()))
+
+
 @pytest.mark.parametrize(
     "name",
     ["h0_annotations", "m2_domain", "m6_labels", "r14_verdicts", "r19_profile", "s8_record_lengths",
