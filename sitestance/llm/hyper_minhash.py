@@ -7,7 +7,7 @@ fours: two sets of likeness 0.8 share none of the 32 bands once in 2 * 10^7 pair
 
 Texts that share a band are candidates.  Their likeness is estimated from equal registers, less
 the matches that chance makes among registers so compressed, and only a pair that could still
-reach 0.8 (five standard errors off) is verified, by the full sets of both texts.
+reach 0.8 (four standard errors off) is verified, by the full sets of both texts.
 
 Candidates are compared without forming all pairs.  First each text meets the head of each
 of its bands; its likeliest head is verified, and what is linked forms a component.  A band whose texts all lie in one component needs nothing more.  In the
@@ -35,10 +35,12 @@ REGISTERS = 1 << REGISTER_BITS
 WIDTH = 4
 BANDS = REGISTERS // WIDTH
 # An estimate may be off by so many standard errors before a pair is given up.
-ERRORS = 5.0
+ERRORS = 4.0
 # Texts of a band that are compared at once.
 BLOCK = 256
 REMEMBERED = 200_000
+# Shingles of the sets that a task of the verification remembers.
+HELD = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - REGISTER_BITS)
@@ -102,7 +104,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     """Collision-corrected Jaccard likeness of rows of registers, and the registers it rests on."""
     used = ((a > 0) | (b > 0)).sum(axis=1)
     same = ((a == b) & (a > 0)).sum(axis=1)
-    by_chance = np.minimum(chance(n, m) * REGISTERS / used, 0.5)
+    sizes, which = np.unique(np.stack([n, m]), axis=1, return_inverse=True)
+    by_chance = np.minimum(chance(*sizes)[which.reshape(-1)] * REGISTERS / used, 0.5)
     return (same / used - by_chance) / (1 - by_chance), used
 
 
@@ -163,15 +166,27 @@ def _estimated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    of_b, known = None, None
+    held: dict[int, np.ndarray] = {}
+    size = 0
+
+    def known(node: int, text: str) -> np.ndarray:
+        nonlocal size
+        found = held.get(node)
+        if found is None:
+            found = shingles(text)
+            if size > HELD:
+                held.clear()
+                size = 0
+            held[node] = found
+            size += len(found)
+        return found
+
     for batch in batches:
         keep = []
-        for b, one, other in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-            if known is None or b != of_b:
-                of_b, known = b, shingles(other)
-            own = shingles(one)
-            shared = len(np.intersect1d(own, known, assume_unique=True))
-            keep.append(100 * shared >= THRESHOLD * (len(own) + len(known) - shared))
+        for a, b, one, other in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            own, of_b = known(a, one), known(b, other)
+            shared = len(np.intersect1d(own, of_b, assume_unique=True))
+            keep.append(100 * shared >= THRESHOLD * (len(own) + len(of_b) - shared))
         alike = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(alike) for c in (0, 1)], ["a", "b"])
 
@@ -192,17 +207,17 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """``node, key`` of every text and each of its bands that is not empty."""
+    """``node, band, key`` of every text and each of its bands that is not empty."""
     zeros = F.unhex(F.lit("0" * 4 * WIDTH))
     keys = []
     for i in range(BANDS):
         band = F.substring("sketch", 2 * WIDTH * i + 1, 2 * WIDTH)
         keys.append(F.when(band != zeros, F.xxhash64(band, F.lit(i))))
-    return texts.select("node", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    return texts.select("node", F.posexplode(F.array(*keys)).alias("band", "key")).where("key is not null")
 
 
 def _headed(rows: DataFrame) -> DataFrame:
-    """``node, key, head`` of the members of shared bands.
+    """``node, band, key, head`` of the members of shared bands.
 
     The head is the text that has most company in all its bands: of a group of near copies, the
     one from which the others stem.
@@ -219,14 +234,17 @@ def _headed(rows: DataFrame) -> DataFrame:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: list[tuple] = []
-        for few, all_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for few, all_, band in zip(*(batch.column(c).to_pylist() for c in range(3))):
             node, comp, n, regs, small = (
                 [np.array([r[f] for r in rows]) if f != "sketch" else _registers(pa.array([r[f] for r in rows], pa.binary())) for rows in (few, all_)]
                 for f in ("node", "comp", "n", "sketch", "few")
             )
+            words = [r.view("<u8") for r in regs]
             for i in range(len(few)):
-                # Two texts that both lie outside the largest component meet once.
-                at = np.flatnonzero((comp[1] != comp[0][i]) & (~small[1] | (node[1] > node[0][i])))
+                # Two texts are compared in the first band that they share, and there once.
+                shared = (words[1] == words[0][i]) & (words[0][i] > 0)
+                own = (shared.argmax(axis=1) == band) & (comp[1] != comp[0][i])
+                at = np.flatnonzero(own & (~small[1] | (node[1] > node[0][i])))
                 if not len(at):
                     continue
                 keep, _ = likely(
@@ -238,8 +256,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Likely pairs ``a, b`` of texts that share a band (``met``: node, key) and lie in two components."""
-    labelled = look_up(met, roots, ["node"], ["key"]).select("key", "node", F.coalesce("root", "node").alias("comp"))
+    """Likely pairs ``a, b`` of texts that share a band (``met``: node, band, key) and lie in two components."""
+    labelled = look_up(met, roots, ["node"], ["key"]).select("key", "band", "node", F.coalesce("root", "node").alias("comp"))
     labelled = stored(labelled, "hyper-labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     mixed = stored(mixed.select("key"), "hyper-mixed")
@@ -256,11 +274,13 @@ def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
 
     def blocks(part: DataFrame, size: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK)).alias("block")
-        return part.groupBy("key", block).agg(F.collect_list(member).alias(name)).select("key", name)
+        return part.groupBy("key", "band", block).agg(F.collect_list(member).alias(name)).drop("block")
 
     rows = stored(rows, "hyper-rows-across")
-    pairs = blocks(rows.where("few"), "rest", "some").join(blocks(rows, "whole", "others"), "key")
-    return pairs.select("some", "others").mapInArrow(_compare, "a bigint, b bigint").distinct()
+    pairs = blocks(rows.where("few"), "rest", "some").join(
+        blocks(rows, "whole", "others").drop("band"), "key"
+    )
+    return pairs.select("some", "others", "band").mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
 def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -273,7 +293,7 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stored(verified(stored(best, "hyper-best"), texts, docs), "hyper-links")
     roots = stored(components(found, "hyper-components"), "hyper-roots")
-    across = stored(_across(met.select("node", "key"), roots, texts), "hyper-across")
+    across = stored(_across(met.drop("head"), roots, texts), "hyper-across")
     if across.isEmpty():
         return roots
     more = stored(verified(across, texts, docs), "hyper-more")
