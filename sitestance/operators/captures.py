@@ -9,10 +9,10 @@ from sitestance import config
 from sitestance.operators import skew
 
 
-def http_responses(records: DataFrame) -> DataFrame:
-    """HTTP response records of every status; error rows are left out."""
+def is_http_response() -> Column:
+    """Whether a record of the scan is an HTTP response; null where it names no type."""
     media = F.regexp_replace(F.lower("media_type"), r"\s", "")
-    return records.where(
+    return (
         F.col("error").isNull()
         & (F.col("type") == "response")
         & F.startswith(media, F.lit("application/http"))
@@ -20,6 +20,11 @@ def http_responses(records: DataFrame) -> DataFrame:
     )
 
 
+def http_responses(records: DataFrame) -> DataFrame:
+    """HTTP response records of every status; error rows are left out."""
+    return records.where(is_http_response())
+
+
 def scan_errors(records: DataFrame) -> DataFrame:
     """Where and why the rest of a file was skipped."""
     return records.where(F.col("error").isNotNull()).select("file", "offset", "error")

@@ -12,6 +12,9 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# An archive holds about so many pages; there are at least LEAST archives.
+PAGES = 500
+LEAST = 4
 # Bodies are read whole.
 LIMIT = -1
 _BREAK = b"\r\n"
@@ -47,8 +50,9 @@ def _page_records(number: int, url: str, html: str) -> list[bytes]:
     ]
 
 
-def write(pages: DataFrame, folder: str, files: int = 4) -> str:
-    """One archive per task, alternately plain and zipped record by record."""
+def write(pages: DataFrame, folder: str) -> str:
+    """One archive per task, as many as the pages need, alternately plain and zipped record by record."""
+    files = max(LEAST, -(-pages.count() // PAGES))
     os.makedirs(folder, exist_ok=True)
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,10 +84,8 @@ def _records(spark, sf_dir) -> DataFrame:
 def s4_record_types(spark, sf_dir):
     """All records of the archives by type, and how many are HTTP responses."""
     records = _records(spark, sf_dir)
-    kept = captures.http_responses(records).groupBy("type").agg(F.count("*").alias("responses"))
-    counted = records.groupBy("type").agg(F.count("*").alias("n"))
-    return counted.join(kept, "type", "left").select(
-        "type", "n", F.coalesce("responses", F.lit(0)).cast("bigint").alias("responses")
+    return records.groupBy("type").agg(
+        F.count("*").alias("n"), F.count_if(captures.is_http_response()).alias("responses")
     )
 
 
@@ -141,6 +139,21 @@ def s3_warc_path_scan(spark, sf_dir):
     )
 
 
+@query
+def s3_split_scan(spark, sf_dir):
+    """Requests and responses of archives read in ranges of 16 KiB, with the request before each."""
+    folder = archives.write(corpora.read(spark, sf_dir, "pages"), _folder(spark, "warc"))
+    files = spark.read.format("binaryFile").load(folder).select("path")
+    records = warc.store(files, _folder(spark, "records"), archives.LIMIT, split_bytes=1 << 14)
+    return records.where("type <> 'warcinfo'").select(
+        F.col("target").alias("url"),
+        "type",
+        F.col("preceding_request.target").alias("request_url"),
+        F.md5("content").alias("content_md5"),
+        *_long("full_length"),
+    )
+
+
 @query
 def s6_header_map(spark, sf_dir):
     pages = corpora.with_headers(corpora.read(spark, sf_dir, "pages"))

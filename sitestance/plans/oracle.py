@@ -7,7 +7,7 @@ and rule priority as ``arg_max`` over all matching rules.
 from __future__ import annotations
 
 from sitestance import config
-from sitestance.plans import corpora
+from sitestance.plans import archives, corpora
 from sitestance.plans.catalog import annotation_query_names
 
 
@@ -332,6 +332,8 @@ _NAMED = _total_share(
 _WARC_STATUS = "CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END"
 _WARC_KEPT = f"CASE WHEN page_id % 3 = 0 THEN 'decoded' WHEN page_id % 5 = 0 THEN 'unsupported' ELSE 'raw' END"
 
+_ARCHIVES = f"greatest({archives.LEAST}, CAST(ceil(count(*) / {archives.PAGES}.0) AS BIGINT))"
+
 
 def queries() -> dict[str, str]:
     sql: dict[str, str] = {}
@@ -342,7 +344,7 @@ def queries() -> dict[str, str]:
         f"SELECT url, CAST({_WARC_STATUS} AS BIGINT) AS http_status, CAST(strlen(html) AS BIGINT) AS full_length,"
         f" {_WARC_KEPT} AS decode_status, md5(encode(html)) AS content_md5, true AS has_length FROM pages"
     )
-    sql["s4_record_types"] = """SELECT 'warcinfo' AS type, CAST(4 AS BIGINT) AS n, CAST(0 AS BIGINT) AS responses
+    sql["s4_record_types"] = f"""SELECT 'warcinfo' AS type, {_ARCHIVES} AS n, CAST(0 AS BIGINT) AS responses FROM pages
       UNION ALL SELECT 'request', count(*), 0 FROM pages UNION ALL SELECT 'response', count(*), count(*) FROM pages"""
     sql["s5_statuses"] = f"SELECT CAST({_WARC_STATUS} AS BIGINT) AS status, count(*) AS n FROM pages GROUP BY 1"
     crlf = "chr(13) || chr(10)"
@@ -354,12 +356,14 @@ def queries() -> dict[str, str]:
         f"SELECT {_WARC_KEPT} AS decode_status, count(*) AS n, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1"
     )
     sql["s13_record_counters"] = f"""SELECT 1695289670000 AS bucket, scope, CAST(n AS BIGINT) AS n FROM (
-      SELECT 'warc_skipped_record_of_type_warcinfo' AS scope, 4 AS n
+      SELECT 'warc_skipped_record_of_type_warcinfo' AS scope, {_ARCHIVES} AS n FROM pages
       UNION ALL SELECT 'warc_skipped_record_of_type_request', count(*) FROM pages
       UNION ALL SELECT 'warc_http_response_record', count(*) FROM pages UNION ALL SELECT 'fetched', count(*) FROM pages
       UNION ALL SELECT 'status_' || {_WARC_STATUS}, count(*) FROM pages GROUP BY 1
       UNION ALL SELECT 'bytes_fetched', sum(strlen(html)) FROM pages)"""
-    sql["s3_warc_path_scan"] = "SELECT 2 * count(*) + 4 AS records, true AS complete FROM pages"
+    sql["s3_warc_path_scan"] = f"SELECT 2 * count(*) + {_ARCHIVES} AS records, true AS complete FROM pages"
+    sql["s3_split_scan"] = """SELECT url, 'request' AS type, NULL AS request_url, NULL AS content_md5, CAST(NULL AS BIGINT) AS full_length FROM pages
+      UNION ALL SELECT url, 'response', url, md5(encode(html)), CAST(strlen(html) AS BIGINT) FROM pages"""
     multimap = "SELECT page_id, lower(name) AS name, string_agg(value, '|' ORDER BY n) AS values FROM hdr GROUP BY ALL"
     sql["s6_header_map"] = _with(HEADERS) + multimap
     sql["s6_header_groups"] = sql["s6_header_map"]

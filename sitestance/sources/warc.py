@@ -1,7 +1,8 @@
 """Web archive scan.
 
 ``spark.read.format("warc")`` reads files and folders, one partition per file;
-:func:`scan` reads a table of paths.  The reader of one file is the only per-record
+:func:`scan` reads a table of paths, in byte ranges if asked to, and :func:`store` keeps
+what such a scan of large files returns.  The reader of one file is the only per-record
 Python of the package.  It keeps one record in memory, bounded by the content limit,
 and hands on what only a sequential reader knows without a shuffle: where the record
 ends and which request came before it.
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sitestance import config
@@ -54,6 +56,11 @@ _ARROW = pa.schema(
 _PIECE = 1 << 16
 _DEFAULT_LIMIT = config.CONTENT_LIMIT
 _HEAD_LIMIT = 1 << 20
+# Bytes after the start of a gzip member that show whether a record starts in it.
+_LOOK = 1 << 12
+SPLIT_BYTES = 128 << 20
+
+_ZIPPED = b"\x1f\x8b"
 
 
 class _Stream:
@@ -63,15 +70,15 @@ class _Stream:
     record start is the offset of its member.
     """
 
-    def __init__(self, handle):
+    def __init__(self, handle, start: int = 0):
         self._handle = handle
         self._raw = b""
-        self._raw_end = 0
+        self._raw_end = start
         self._buffer = b""
         self._inflater = None
         self._more()
-        self.zipped = self._raw[:2] == b"\x1f\x8b"
-        self.member = 0
+        self.zipped = self._raw[:2] == _ZIPPED
+        self.member = start
 
     def _more(self) -> bool:
         piece = self._handle.read(_PIECE)
@@ -328,28 +335,78 @@ def _record(stream: _Stream, limit: int) -> dict:
 def _open(path: str):
     if "://" in path and not path.startswith("file:"):
         system, inner = arrow_fs.FileSystem.from_uri(path)
-        return system.open_input_stream(inner, compression=None), system.get_file_info(inner).size
+        return system.open_input_file(inner), system.get_file_info(inner).size
     local = path.removeprefix("file://").removeprefix("file:")
     return open(local, "rb"), os.path.getsize(local)
 
 
-def read_file(path: str, limit: int) -> Iterator[dict]:
-    """All records of one file; a fault ends the file with one error row."""
-    offset = 0
+def _holds_record(member: bytes) -> bool:
+    try:
+        return zlib.decompressobj(31).decompress(member, _LOOK).startswith(b"WARC/")
+    except zlib.error:
+        return False
+
+
+def _next_start(handle, start: int, end: int) -> int | None:
+    """The first place in the range that looks like the start of a record or of its gzip member."""
+    handle.seek(0)
+    zipped = handle.read(2) == _ZIPPED
+    mark, before = (_ZIPPED + b"\x08", 0) if zipped else (b"\r\n\r\nWARC/", 4)
+    at = max(start - before, 0)
+    handle.seek(at)
+    window, more = b"", True
+    while more and at + before < end:
+        piece = handle.read(_PIECE)
+        more = bool(piece)
+        window += piece
+        found = window.find(mark)
+        while found >= 0 and (not zipped or not more or len(window) - found >= _LOOK):
+            if at + found + before >= end:
+                return None
+            if not zipped or _holds_record(window[found : found + _LOOK]):
+                return at + found + before
+            found = window.find(mark, found + 1)
+        used = found if found >= 0 else max(len(window) - len(mark) + 1, 0)
+        at, window = at + used, window[used:]
+    return None
+
+
+def read_file(path: str, limit: int, start: int = 0, end: int | None = None) -> Iterator[dict]:
+    """All records of one file; a fault ends the file with one error row.
+
+    With a range, the records from the first request that starts in it up to the first request
+    that starts behind it; so the ranges of a file share out its records, and a response and its
+    request are read together.  The range from zero on takes what comes before any request too.
+    """
+    offset = start
     try:
         handle, file_size = _open(path)
     except OSError as fault:
         yield dict.fromkeys(_COLUMNS) | {"file": path, "offset": 0, "error": str(fault)}
         return
     with handle:
-        stream = _Stream(handle)
         request = None
+        own = start == 0
         try:
+            first = 0 if own else _next_start(handle, start, end or file_size)
+            if first is None:
+                return
+            handle.seek(first)
+            stream = _Stream(handle, first)
             stream.skip_blank()
             while not stream.at_end():
                 offset = stream.offset()
+                behind = end is not None and offset >= end
+                if behind and not own:
+                    return
                 row = _record(stream, limit)
+                if row["type"] == "request":
+                    if behind:
+                        return
+                    own = True
                 stream.skip_blank()
+                if not own:
+                    continue
                 length = stream.offset() - offset
                 row.update(
                     file=path,
@@ -368,28 +425,90 @@ def read_file(path: str, limit: int) -> Iterator[dict]:
             }
 
 
+def _batches(rows: Iterator[dict], size: int) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+
+
+def ranges(paths: DataFrame, split_bytes: int) -> DataFrame:
+    """``path, start, end`` of stretches of ``split_bytes`` that cover each file; a missing file has one."""
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    handle, size = _open(path)
+                    handle.close()
+                except OSError:
+                    size = 0
+                starts = range(0, max(size, 1), split_bytes)
+                rows += [{"path": path, "start": s, "end": s + split_bytes} for s in starts]
+            fields = [("path", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
+
+    return paths.select("path").mapInArrow(cut, "path string, start bigint, end bigint")
+
+
 def scan(
     paths: DataFrame,
     limit: int = config.CONTENT_LIMIT,
     files_per_task: int = 1,
     rows_per_batch: int = 256,
+    split_bytes: int | None = None,
 ) -> DataFrame:
-    """S3 over ``paths(path)``: the table is spread, so a file is a unit of work."""
-    tasks = max(1, -(-paths.count() // files_per_task))
+    """S3 over ``paths(path)``: the table is spread, so a file is a unit of work.
+
+    With ``split_bytes`` a stretch of a file is.  Where a stretch starts inside a record, the
+    reader looks for the next record start; a page that is itself an archive can deceive it,
+    which :func:`misread` finds and :func:`store` mends.
+    """
+    whole = F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end")
+    parts = paths.select("path", *whole) if split_bytes is None else ranges(paths, split_bytes)
+    tasks = max(1, -(-parts.count() // files_per_task))
 
     def read(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                rows: list[dict] = []
-                for row in read_file(path, limit):
-                    rows.append(row)
-                    if len(rows) >= rows_per_batch:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-    return paths.select("path").repartition(tasks).mapInArrow(read, SCHEMA)
+            for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end"))):
+                yield from _batches(read_file(path, limit, start, end), rows_per_batch)
+
+    return parts.repartition(tasks).mapInArrow(read, SCHEMA)
+
+
+def misread(records: DataFrame) -> DataFrame:
+    """``file`` of those whose records do not add up to the file, or with a fault."""
+    sums = records.groupBy("file").agg(
+        F.coalesce(F.sum("length"), F.lit(0)).alias("read"), F.max("file_size").alias("size"), F.count("error").alias("faults")
+    )
+    return sums.where((F.col("faults") > 0) | ~F.col("read").eqNullSafe(F.col("size"))).select("file")
+
+
+def store(
+    paths: DataFrame, folder: str, limit: int = config.CONTENT_LIMIT, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """The records of a scan in byte ranges, written below ``folder`` and read back.
+
+    Files that do not add up are read again whole, so the rows are those of an undivided scan
+    whatever the files hold; a damaged file ends at its first fault, as it does there.  A path
+    that is listed twice is read once.
+    """
+    spark = paths.sparkSession
+    paths = paths.select("path").distinct()
+    scan(paths, limit, split_bytes=split_bytes).write.mode("overwrite").parquet(f"{folder}/ranges")
+    divided = spark.read.schema(SCHEMA).parquet(f"{folder}/ranges")
+    misread(divided).write.mode("overwrite").parquet(f"{folder}/misread")
+    again = spark.read.schema("file string").parquet(f"{folder}/misread")
+    if again.isEmpty():
+        return divided
+    scan(again.select(F.col("file").alias("path")), limit).write.mode("overwrite").parquet(f"{folder}/whole")
+    whole = spark.read.schema(SCHEMA).parquet(f"{folder}/whole")
+    return divided.join(again, "file", "left_anti").select(*_COLUMNS).unionByName(whole)
 
 
 class _File(InputPartition):

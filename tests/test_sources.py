@@ -88,6 +88,68 @@ def test_scan(spark, folder, way):
     df.unpersist()
 
 
+def _inner_archive():
+    """A page that is itself an archive; zipped again, its bytes stay as they are."""
+    return b"".join(RECORDS[:3])
+
+
+@pytest.fixture(scope="module")
+def divided(tmp_path_factory):
+    root = tmp_path_factory.mktemp("divided")
+    many = [
+        r for i in range(60) for r in (
+            record("request", 2 * i, f"GET /{i} HTTP/1.1\r\n\r\n".encode(), f"http://ex.org/{i}"),
+            record("response", 2 * i + 1, response(b"%d " % i * (i * 37 % 400)), f"http://ex.org/{i}"),
+        )
+    ]
+    answers = many[1::2]
+    deceiving = many[:6] + [record("response", 900, response(LONG + b"\r\n\r\n" + _inner_archive()))] + many[6:20]
+
+    def stored_members(parts):
+        return b"".join(gzip.compress(p, 0) for p in parts)
+
+    inner = b"".join(gzip.compress(r) for r in RECORDS[:3])
+    files = {
+        "plain.warc": b"".join(many),
+        "zipped.warc.gz": b"".join(gzip.compress(r) for r in many),
+        "pairs.warc.gz": b"".join(gzip.compress(a + b) for a, b in zip(answers, many[2::2])),
+        "one_member.warc.gz": gzip.compress(b"".join(many)),
+        "answers.warc": b"".join(answers),
+        "deceiving.warc": b"".join(deceiving),
+        "deceiving.warc.gz": stored_members([*many[:6], record("response", 900, response(inner * 3)), *many[6:20]]),
+        "damaged.warc.gz": b"".join(gzip.compress(r) for r in many[:30]) + b"damage" + gzip.compress(many[30]),
+        "cut.warc": b"".join(many)[:-40],
+        "empty.warc": b"",
+    }
+    for name, content in files.items():
+        (root / name).write_bytes(content)
+    return root
+
+
+@pytest.mark.parametrize("step", [64, 700, 4096])
+def test_ranges_share_out_a_file(divided, step):
+    for name in ("plain.warc", "zipped.warc.gz", "pairs.warc.gz", "one_member.warc.gz", "answers.warc", "empty.warc"):
+        path = str(divided / name)
+        size = (divided / name).stat().st_size
+        parts = [list(warc.read_file(path, -1, s, s + step)) for s in range(0, max(size, 1), step)]
+        whole = list(warc.read_file(path, -1))
+        assert [r for rows in parts for r in rows] == whole, name
+        assert sum(bool(rows) for rows in parts) > 3 or name in ("one_member.warc.gz", "answers.warc", "empty.warc") or step == 4096
+
+
+def test_stored_scan_equals_an_undivided_one(spark, divided, tmp_path):
+    names = sorted(p.name for p in divided.iterdir())
+    paths = spark.createDataFrame([(str(divided / n),) for n in [*names, "none.warc", names[0]]], "path string")
+    found = warc.store(paths, str(tmp_path / "s"), -1, split_bytes=300)
+    key = lambda r: (r["file"], r["offset"], r["record_id"] or "", r["error"] or "")
+    expected = warc.scan(paths.distinct(), -1).collect()
+    assert found.columns == warc._COLUMNS
+    assert sorted(found.collect(), key=key) == sorted(expected, key=key)
+    again = {r["file"].rsplit("/")[-1] for r in spark.read.parquet(str(tmp_path / "s" / "misread")).collect()}
+    assert {"deceiving.warc", "damaged.warc.gz", "cut.warc", "none.warc"} <= again
+    assert not again & {"plain.warc", "zipped.warc.gz", "pairs.warc.gz", "one_member.warc.gz", "answers.warc"}
+
+
 def test_missing_file_is_an_error_row(spark):
     df = warc.scan(spark.createDataFrame([("/tmp/none/x.warc",)], "path string"))
     assert df.first()["error"]
