@@ -838,6 +838,17 @@ def e6_captured_page_documents(spark, sf_dir):
     return _fields(docs, "page_id").where(~place)
 
 
+@query
+def e6_reruns(spark, sf_dir):
+    """Captures after a run over some of the archives and another over all of them."""
+    folder = archives.write(corpora.read(spark, sf_dir, "pages"), _folder(spark, "warc"))
+    paths = spark.read.format("binaryFile").load(folder).select("path")
+    target = _folder(spark, "runs")
+    flows.ingest(paths.where(F.col("path").endswith(".gz")), target, "warc", "2023-50", archives.LIMIT)
+    table = flows.ingest(paths, target, "warc", "2023-50", archives.LIMIT)
+    return table.select(F.col("target").alias("url"), F.md5("content").alias("content_md5"), "crawl")
+
+
 @query
 def e6_set_aside(spark, sf_dir):
     """Archive records that no flow can use, with the reason."""

@@ -7,7 +7,9 @@ where present, is carried along.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitestance import config
@@ -15,6 +17,7 @@ from sitestance.functions.rows import overlaid
 from sitestance.functions.text import decode_page
 from sitestance.operators import captures, html, index, metadata, policy, robots
 from sitestance.session import prepare
+from sitestance.sources import warc
 
 
 def _single(name: str, value: Column) -> Column:
@@ -81,6 +84,64 @@ def store_captures(table: DataFrame, path: str, dataset: str, crawl: str) -> Dat
     return read.withColumns({"dataset": F.lit(dataset), "crawl": F.lit(crawl)})
 
 
+_DONE = "path string, batch string"
+
+
+def _begun(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at a path, begun without rows if there is none."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def ingest(
+    paths: DataFrame,
+    folder: str,
+    dataset: str,
+    crawl: str,
+    limit: int = config.CONTENT_LIMIT,
+    split_bytes: int = warc.SPLIT_BYTES,
+) -> DataFrame:
+    """Captures of all archives ever named for a crawl; only those not yet read are opened.
+
+    A run writes its captures under a name of its own and, last, lists its archives with that
+    name.  Captures of a run that failed before are under no listed name, so they do not count and
+    its archives are read again.  An archive that could not be opened is not listed either;
+    a damaged one is, up to its fault.  Records are kept beside the captures (``records``), and
+    what is set aside comes from :func:`ingest_faults`.  One run at a time may write a crawl.
+    """
+    spark = paths.sparkSession
+    root = f"{folder}/dataset={dataset}/crawl={crawl}"
+    listed = _begun(spark, f"{root}/done", _DONE)
+    fresh = paths.select("path").distinct().join(listed, "path", "left_anti")
+    if not fresh.isEmpty():
+        batch = uuid.uuid4().hex
+        records = warc.store(fresh, f"{root}/records/{batch}", limit, split_bytes)
+        table = captured(records, limit)
+        table.write.option("compression", "zstd").parquet(f"{root}/captures/batch={batch}")
+        set_aside(records).write.parquet(f"{root}/faults/batch={batch}")
+        unread = records.where("error IS NOT NULL AND file_size IS NULL").select(F.col("file").alias("path"))
+        done = fresh.join(unread, "path", "left_anti").withColumn("batch", F.lit(batch))
+        done.write.mode("append").parquet(f"{root}/done")
+    schema = captured(spark.createDataFrame([], warc.SCHEMA), limit).schema
+    found = _of_listed_runs(spark, root, "captures", schema)
+    return found.withColumns({"dataset": F.lit(dataset), "crawl": F.lit(crawl)})
+
+
+def ingest_faults(spark: SparkSession, folder: str, dataset: str, crawl: str) -> DataFrame:
+    """``(file, offset, error)`` of the listed runs of :func:`ingest`."""
+    root = f"{folder}/dataset={dataset}/crawl={crawl}"
+    return _of_listed_runs(spark, root, "faults", "file string, offset bigint, error string")
+
+
+def _of_listed_runs(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    listed = _begun(spark, f"{root}/done", _DONE)
+    # The folder of no run keeps the table readable before the first one.
+    _begun(spark, f"{root}/{name}/batch=none", schema)
+    rows = spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    runs = spark.read.schema(listed.schema).parquet(f"{root}/done").select("batch").distinct()
+    return rows.join(runs, "batch", "left_semi").drop("batch")
+
+
 def _content_type() -> Column:
     values = captures.header_values(F.col("headers"), F.lit("content-type"))
     return F.try_element_at(values, F.lit(1))

@@ -549,6 +549,7 @@ pq AS (SELECT page_id AS doc_id, {PATH} AS path FROM pages)"""
     sql["e6_captured_page_documents"] = _with(*ANNOTATED, DOMAINS, PAGE_FIELDS) + f"""{page_rows} WHERE field NOT LIKE 'parse.http.%'
       UNION ALL SELECT page_id, 'capturetime', '1695289671000' FROM pages
       UNION ALL SELECT page_id, 'ip', '10.0.0.1' FROM pages"""
+    sql["e6_reruns"] = "SELECT url, md5(encode(html)) AS content_md5, '2023-50' AS crawl FROM pages"
     sql["e6_set_aside"] = "SELECT 'response without URL' AS error, count(*) AS n FROM pages WHERE page_id % 9 = 0"
     requests = f"requests AS (SELECT page_id, {_ORIGIN} AS origin, 1695289671 + page_id * 7919 % 1009 * 1800 AS t FROM pages)"
     spans = """spans AS (SELECT origin, min(t) AS t FROM requests GROUP BY 1

@@ -71,6 +71,51 @@ def test_stored_captures_feed_both_flows(spark, tmp_path):
     assert flows.robots_documents(flows.captured_robots(stored), corpora.suffixes(spark)).first()["doc"]["host"] == ["ex.org"]
 
 
+def _archive(path, numbers):
+    def one(kind, number, block):
+        return (
+            f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}:{number}>\r\nWARC-Target-URI: http://ex.org/{number}\r\n"
+            f"Content-Type: application/http; msgtype={kind}\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+        )
+
+    path.write_text("".join(
+        one("request", n, f"GET /{n} HTTP/1.1\r\n\r\n") + one("response", n, f"HTTP/1.1 200 OK\r\n\r\npage {n}") for n in numbers
+    ), newline="")
+
+
+def _targets(table):
+    return sorted(r["target"].rsplit("/")[-1] for r in table.collect())
+
+
+def test_reruns_open_new_archives_only(spark, tmp_path):
+    def run(*names):
+        paths = spark.createDataFrame([(str(tmp_path / n),) for n in names], "path string")
+        return flows.ingest(paths, str(tmp_path / "out"), "warc", "c1", split_bytes=200)
+
+    _archive(tmp_path / "a", [1, 2, 3])
+    _archive(tmp_path / "b", [4, 5])
+    assert _targets(run()) == []
+    assert _targets(run("a", "b", "c", "a")) == list("12345")
+    # What a failed run left behind is under no listed name.
+    root = tmp_path / "out" / "dataset=warc" / "crawl=c1"
+    left = flows.captured(warc.scan(spark.createDataFrame([(str(tmp_path / "a"),)], "path string")))
+    left.write.parquet(str(root / "captures" / "batch=failed"))
+    # Read archives may change or go; one that was missing is read when it is there.
+    (tmp_path / "a").write_text("changed")
+    _archive(tmp_path / "c", [6])
+    (tmp_path / "d").write_text("WARC/1.0\r\nbroken")
+    table = run("a", "b", "c", "d")
+    assert _targets(table) == list("123456") and {(r["dataset"], r["crawl"]) for r in table.collect()} == {("warc", "c1")}
+    assert _targets(run("a", "b", "c", "d")) == list("123456")
+    assert len(list((root / "records").iterdir())) == 2
+    faults = flows.ingest_faults(spark, str(tmp_path / "out"), "warc", "c1").collect()
+    assert sorted(r["file"][-1] for r in faults) == ["c", "d"]
+    full = flows.captured(warc.scan(spark.createDataFrame([(str(tmp_path / n),) for n in "bc"], "path string")))
+    kept = table.where(~table["file"].endswith("/a")).drop("dataset", "crawl").select(*full.columns)
+    key = lambda r: (r["file"], r["offset"])
+    assert sorted(kept.collect(), key=key) == sorted(full.collect(), key=key)
+
+
 @pytest.mark.parametrize(
     "directive, forbids",
     [("noindex", True), ("NoFollow", True), ("otherbot: noarchive", True), ("none", True), ("all", False),
