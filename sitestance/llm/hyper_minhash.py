@@ -283,6 +283,22 @@ def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("some", "others", "band").mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
+def _united(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``node, root`` after further links ``a, b``: components are joined by their roots alone.
+
+    The turns of this second search pass over linked roots, not over all members again.
+    """
+    one = look_up(more.select(F.col("a").alias("node"), "b"), roots, ["node"], ["b"])
+    one = one.select(F.coalesce("root", "node").alias("one"), F.col("b").alias("node"))
+    both = look_up(one, roots, ["node"], ["one"]).select("one", F.coalesce("root", "node").alias("other"))
+    over = components(both.select(F.col("one").alias("a"), F.col("other").alias("b")).distinct(), "hyper-components")
+    over = stored(over.select(F.col("node").alias("label"), F.col("root").alias("top")), "hyper-over")
+    ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    new = ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("label"))
+    every = roots.select("node", F.col("root").alias("label")).union(new)
+    return look_up(every, over, ["label"], ["node"]).select("node", F.coalesce("top", "label").alias("root"))
+
+
 def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, root`` of every text that is linked to another."""
     met = _headed(stored(_members(texts), "hyper-bands"))
@@ -297,7 +313,7 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     if across.isEmpty():
         return roots
     more = stored(verified(across, texts, docs), "hyper-more")
-    return stored(components(found.union(more), "hyper-components"), "hyper-roots")
+    return stored(_united(roots, more), "hyper-roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

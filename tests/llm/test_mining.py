@@ -129,6 +129,18 @@ def brute_components(rows):
     return sorted(repr((r[0], len(s), least[g], r[0] == least[g])) for r, s, g in zip(rows, sets, group))
 
 
+def test_components_are_united_by_their_roots(spark):
+    def edges(pairs):
+        return spark.createDataFrame(pairs, "a bigint, b bigint")
+
+    first = [(1, 2), (2, 3), (4, 5), (6, 7), (8, 9), (11, 12)]
+    roots = hyper_minhash.components(edges(first), "test-components")
+    for more in ([(3, 5), (9, 7)], [(10, 3), (10, 5)], [(2, 3)], [(0, 9), (0, 20), (7, 21)], []):
+        found = sorted(hyper_minhash._united(roots, edges(more)).collect())
+        expected = hyper_minhash.components(edges(first + more), "test-components")
+        assert found == sorted(expected.collect()), more
+
+
 def test_hyper_minhash(spark, odd):
     assert rows_of(hyper_minhash.near_duplicates(table(spark, odd))) == brute_components(odd)
     assert rows_of(hyper_minhash.near_duplicates(table(spark, odd[:0]))) == []
