@@ -198,6 +198,23 @@ def first_documents(
         return captures.where(F.lit(False))
     chunked = skew.with_chunk(captures, F.col(offset), chunk_size)
     stretches = chunked.groupBy(file_no, "chunk").agg(F.count("*").alias("n"))
+    edge = _edge(stretches, limit, file_no).select(F.struct("f", "c", "take")).scalar()
+    marked = chunked.withColumn("_edge", edge)
+    where_now = F.struct(F.col(file_no).alias("f"), F.col("chunk").alias("c"))
+    where_cut = F.struct(F.col("_edge.f").alias("f"), F.col("_edge.c").alias("c"))
+    whole = marked.where(F.col("_edge").isNull() | (where_now < where_cut))
+    inside = Window.partitionBy(file_no, "chunk").orderBy(offset)
+    part = (
+        marked.where(where_now == where_cut)
+        .withColumn("_rn", F.row_number().over(inside))
+        .where(F.col("_rn") <= F.col("_edge.take"))
+        .drop("_rn")
+    )
+    return whole.unionByName(part).drop("_edge", "chunk")
+
+
+def _edge(stretches: DataFrame, limit: int, file_no: str) -> DataFrame:
+    """The stretch where the limit falls and the rows it gives, ``(f, c, take)``; no row if all fit."""
     files = stretches.groupBy(file_no).agg(F.sum("n").alias("n")).withColumn(
         "block", F.floor(F.col(file_no) / 1000)
     )
@@ -211,30 +228,71 @@ def first_documents(
     ).select(file_no, (F.col("block_start") + F.col("in_block")).alias("file_start"))
     before_stretch = F.sum("n").over(_before(Window.partitionBy(file_no).orderBy("chunk")))
     start = F.col("file_start") + F.coalesce(before_stretch, F.lit(0))
-    edge = (
+    return (
         stretches.join(file_starts, file_no)
         .withColumn("start", start)
         .where((F.col("start") < limit) & (F.col("start") + F.col("n") >= limit))
         .select(
-            F.struct(
-                F.col(file_no).alias("f"), F.col("chunk").alias("c"),
-                (F.lit(limit) - F.col("start")).alias("take"),
-            )
+            F.col(file_no).alias("f"), F.col("chunk").alias("c"),
+            (F.lit(limit) - F.col("start")).alias("take"),
         )
-        .scalar()
     )
-    marked = chunked.withColumn("_edge", edge)
-    where_now = F.struct(F.col(file_no).alias("f"), F.col("chunk").alias("c"))
-    where_cut = F.struct(F.col("_edge.f").alias("f"), F.col("_edge.c").alias("c"))
-    whole = marked.where(F.col("_edge").isNull() | (where_now < where_cut))
-    inside = Window.partitionBy(file_no, "chunk").orderBy(offset)
-    part = (
-        marked.where(where_now == where_cut)
-        .withColumn("_rn", F.row_number().over(inside))
-        .where(F.col("_rn") <= F.col("_edge.take"))
-        .drop("_rn")
+
+
+def store_indexed(
+    captures: DataFrame,
+    path: str,
+    file_no: str = "file_no",
+    offset: str = "offset",
+    chunk_size: int = 1 << 26,
+    files_per_part: int = 100,
+) -> None:
+    """Captures in parts of ``files_per_part`` files, and beside them an offset index.
+
+    The index has one row per stretch of ``chunk_size`` bytes of a file: how many captures begin
+    there.  It is counted from the stored rows and written last, so a run that fails leaves
+    none.  The names ``_part`` and ``_chunk`` are taken; a capture without file or offset is in no stretch.
+    """
+    spark = captures.sparkSession
+    rows = captures.withColumns(
+        {"_part": F.floor(F.col(file_no) / files_per_part), "_chunk": F.floor(F.col(offset) / chunk_size)}
     )
-    return whole.unionByName(part).drop("_edge", "chunk")
+    # A table without rows has no part that tells its columns.
+    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/columns")
+    rows.write.option("compression", "zstd").partitionBy("_part").parquet(f"{path}/rows")
+    kept = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    placed = kept.where(F.col(file_no).isNotNull() & F.col("_chunk").isNotNull())
+    stretches = placed.groupBy("_part", file_no, F.col("_chunk").alias("chunk")).agg(F.count("*").alias("n"))
+    stretches.write.parquet(f"{path}/stretches")
+
+
+def first_indexed(
+    spark: SparkSession, path: str, limit: int, file_no: str = "file_no", offset: str = "offset"
+) -> DataFrame:
+    """The first ``limit`` captures of a table of :func:`store_indexed`.
+
+    The index alone names the edge, one row with three numbers; parts and files behind it are not
+    opened, and of the captures only the edge's stretch is numbered.  Captures in no stretch
+    are never among the first.
+    """
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+    placed = rows.where(F.col(file_no).isNotNull() & F.col("_chunk").isNotNull())
+    if limit <= 0:
+        return rows.where(F.lit(False)).drop("_part", "_chunk")
+    stretches = spark.read.parquet(f"{path}/stretches")
+    edge = _edge(stretches, limit, file_no).join(
+        stretches.select(F.col(file_no).alias("f"), F.col("chunk").alias("c"), "_part"), ["f", "c"]
+    ).first()
+    if edge is None:
+        return placed.drop("_part", "_chunk")
+    near = placed.where((F.col("_part") <= edge["_part"]) & (F.col(file_no) <= edge["f"]))
+    whole = near.where((F.col(file_no) < edge["f"]) | (F.col("_chunk") < edge["c"]))
+    last = placed.where(
+        (F.col("_part") == edge["_part"]) & (F.col(file_no) == edge["f"]) & (F.col("_chunk") == edge["c"])
+    )
+    numbered = last.withColumn("_rn", F.row_number().over(Window.partitionBy(file_no).orderBy(offset)))
+    part = numbered.where(F.col("_rn") <= edge["take"]).drop("_rn")
+    return whole.unionByName(part).drop("_part", "_chunk")
 
 
 def _before(window):

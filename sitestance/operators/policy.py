@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sitestance import config
 from sitestance.functions import rows
 from sitestance.functions import url as u
-from sitestance.operators import robots, skew, tdm
+from sitestance.operators import robots, skew, spans, tdm
 from sitestance.session import shared_dir
 
 POLICY_PATHS = {"robots": "/robots.txt", "tdmrep": "/.well-known/tdmrep.json"}
@@ -70,39 +70,14 @@ def cache_hits(
 ) -> DataFrame:
     """adds ``cached`` under a write-based time to live; NULL without a key.
 
-    A miss opens a span of ``ttl_days``; the next miss is the first request after it.
-    Misses of one key are therefore at least a span apart, so round *n* finds the
-    n-th miss of all keys at once with one mergeable ``min``.  The number of rounds
-    is the time covered divided by the span (two or three for a crawl), and no task
-    ever holds or sorts the requests of a key.
+    A miss opens a span of ``ttl_days``; the next miss is the first request after it, found by
+    :func:`spans.misses` in a fixed number of shuffles, whatever the time covered.  Of requests
+    at the very same time the one of least ``row_id`` is the miss.  No task holds the requests of a key.
     """
-    ttl = F.make_dt_interval(days=F.lit(ttl_days))
-    narrow = requests.select(key, ts, row_id)
-    span = narrow.agg(
-        ((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 86_400_000_000).alias("d")
-    ).first()["d"]
-    rounds = int((span or 0) // ttl_days) + 1
-    spark = requests.sparkSession
-    hot = skew.hot_keys(narrow, key)
-    state = narrow.groupBy(key).agg(F.min(ts).alias("m1"))
-    for n in range(2, rounds + 1):
-        earlier = [f"m{i}" for i in range(1, n)]
-        joined = skew.lookup_join(narrow, state, key, "inner", spread=[row_id], hot=hot)
-        after = F.when(F.col(ts) >= F.col(f"m{n - 1}") + ttl, F.col(ts))
-        state = joined.groupBy(key).agg(
-            *[F.max(m).alias(m) for m in earlier], F.min(after).alias(f"m{n}")
-        )
-        if n % 8 == 0:
-            spark.sparkContext.setCheckpointDir(shared_dir(spark))
-            state = state.checkpoint()
-    spans = F.array(*[F.col(f"m{n}") for n in range(1, rounds + 1)])
-    flagged = skew.lookup_join(narrow, state, key, spread=[row_id], hot=hot)
-    at_miss = flagged.where(F.array_contains(spans, F.col(ts)))
-    # Of requests at the very same time the first one is the miss.
-    misses = at_miss.groupBy(key, ts).agg(F.min(row_id).alias(row_id)).select(
-        row_id, F.lit(False).alias("cached")
-    )
-    return requests.join(misses, row_id, "left").withColumn(
+    folder = f"{shared_dir(requests.sparkSession)}/spans-{uuid.uuid4().hex}"
+    found = spans.misses(requests, key, ts, row_id, ttl_days, lambda paths: _written(paths, folder))
+    flagged = requests.join(found.withColumn("cached", F.lit(False)), row_id, "left")
+    return flagged.withColumn(
         "cached", F.when(F.col(key).isNotNull(), F.coalesce("cached", F.lit(True)))
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitestance import config
 from sitestance.functions import rows, text, url
-from sitestance.operators import captures, html, index, metadata, policy, robots, study, tdm
+from sitestance.operators import captures, html, index, metadata, policy, robots, sketches, study, tdm
 from sitestance.plans import archives, corpora, flows
 from sitestance.session import prepare, shared_dir
 from sitestance.sources import tables, warc
@@ -275,11 +275,22 @@ def s15_crawl_registry(spark, sf_dir):
 @query
 def s16_first_documents(spark, sf_dir):
     """The first 20,000 lines in (file, offset) order, orders dealt out to 13 files."""
-    lines = corpora.read(spark, sf_dir, "lineitem").select(
+    return captures.first_documents(_dealt_lines(spark, sf_dir), 20_000, chunk_size=1 << 12)
+
+
+@query
+def s16_stored_index(spark, sf_dir):
+    """The same lines from a table stored with its offset index; files behind the edge stay closed."""
+    folder = _folder(spark, "indexed")
+    captures.store_indexed(_dealt_lines(spark, sf_dir), folder, chunk_size=1 << 12, files_per_part=1)
+    return captures.first_indexed(spark, folder, 20_000)
+
+
+def _dealt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.read(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % 13).alias("file_no"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("offset"),
     )
-    return captures.first_documents(lines, 20_000, chunk_size=1 << 12)
 
 
 # --- HTML annotations -------------------------------------------------------------
@@ -924,6 +935,16 @@ def q7_size_buckets(spark, sf_dir):
     return study.size_buckets(profiles).select("crawl", *_long("status", "bucket"), "docs")
 
 
+@query
+def q7_stored_quantiles(spark, sf_dir):
+    """Size quantiles by crawl and status, subtotals included, from size sketches stored per crawl."""
+    profiles = robots.admit(corpora.robots(spark, sf_dir))
+    stored = sketches.store(sketches.size_sketches(profiles, "status"), _folder(spark, "sizes"))
+    return sketches.quantiles_over(stored, "crawl", "status").select(
+        "crawl", *_long("status"), "docs", "p50", "p95", "level"
+    )
+
+
 @query
 def q8_by_label(spark, sf_dir):
     """Pages that reserve their content, by crawl and category."""
@@ -975,3 +996,11 @@ def q12_approximate_agents(spark, sf_dir):
     )
     close = F.abs(F.col("approx") - F.col("agents")) <= F.greatest(F.lit(1), F.col("agents") * 0.15)
     return both.select("crawl", close.alias("within_bound"))
+
+
+@query
+def q12_stored_agents(spark, sf_dir):
+    """Different agents named per crawl and, without crawl, in all, from sketches stored per crawl."""
+    stored = sketches.store(sketches.agent_sketches(_profiles(spark, sf_dir)), _folder(spark, "agents"))
+    every = sketches.distinct_over(stored).withColumn("crawl", F.lit(None).cast("string"))
+    return sketches.distinct_over(stored, "crawl").unionByName(every)

@@ -400,6 +400,8 @@ def queries() -> dict[str, str]:
       SELECT l_orderkey % 13 AS file_no, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS "offset" FROM lineitem)
       ORDER BY file_no, "offset" LIMIT 20000"""
 
+    sql["s16_stored_index"] = sql["s16_first_documents"]
+
     sql["h0_annotations"] = _with(PAGES, ANNOTATIONS) + "SELECT page_id, key, pos, value FROM ann"
     for name, key in annotation_query_names().items():
         sql[name] = _with(PAGES, ANNOTATIONS) + f"SELECT page_id, pos, value FROM ann WHERE key = '{key}'"
@@ -583,6 +585,20 @@ pq AS (SELECT page_id AS doc_id, {PATH} AS path FROM pages)"""
       CAST(grouping(crawl, status, content_type) AS BIGINT) AS level FROM docs GROUP BY ROLLUP (crawl, status, content_type)"""
     sql["q7_size_buckets"] = _with(DOCS) + """SELECT crawl, CAST(status AS BIGINT) AS status,
       CASE WHEN content_length > 0 THEN CAST(floor(log2(content_length)) AS BIGINT) ELSE -1 END AS bucket, count(*) AS docs FROM docs GROUP BY ALL"""
+    middle = "((b % 256) << (b // 256)) + CASE WHEN b >= 256 THEN 1 << (b // 256 - 1) ELSE 0 END"
+    rank = "min(bucket) FILTER (upto >= greatest(ceil({} * sized), 1))"
+    p50, p95 = (f"CAST((SELECT {middle} FROM (SELECT {c} AS b)) AS BIGINT) AS {c}" for c in ("p50", "p95"))
+    sql["q7_stored_quantiles"] = _with(
+        DOCS,
+        "cut AS (SELECT crawl, status, content_length AS size, greatest(length(bin(content_length)) - 8, 0) AS cut FROM docs)",
+        "buckets AS (SELECT crawl, status, CASE WHEN size IS NOT NULL THEN cut * 256 + (size >> cut) END AS bucket FROM cut)",
+        """summed AS (SELECT crawl, status, bucket, count(*) AS n, CAST(grouping(crawl, status) AS BIGINT) AS level
+          FROM buckets GROUP BY GROUPING SETS ((crawl, status, bucket), (crawl, bucket), (bucket)))""",
+        """run AS (SELECT *, sum(CASE WHEN bucket IS NOT NULL THEN n END) OVER (PARTITION BY crawl, status, level) AS sized,
+          sum(n) OVER (PARTITION BY crawl, status, level ORDER BY bucket NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM summed)""",
+        f"""found AS (SELECT crawl, CAST(status AS BIGINT) AS status, CAST(sum(n) AS BIGINT) AS docs, level,
+          {rank.format("CAST(0.5 AS DOUBLE)")} AS p50, {rank.format("CAST(0.95 AS DOUBLE)")} AS p95 FROM run GROUP BY crawl, status, level)""",
+    ) + f"SELECT crawl, status, docs, level, {p50}, {p95} FROM found"
     sql["q8_by_label"] = _with(*ANNOTATED, LABELS) + f"""SELECT crawl, label, count(*) AS n, CAST(grouping(crawl, label) AS BIGINT) AS level
       FROM (SELECT crawl, label FROM pg LEFT JOIN labels_ ON labels_.host = {HOST}
         WHERE page_id IN (SELECT page_id FROM refd WHERE key = 'parse.meta.tdm-reservation')) GROUP BY CUBE (crawl, label)"""
@@ -600,4 +616,8 @@ pq AS (SELECT page_id AS doc_id, {PATH} AS path FROM pages)"""
         FROM refd JOIN pg USING (page_id) WHERE key IN ('parse.creativecommons', 'parse.rel.license')) GROUP BY ALL"""
     sql["q12_distinct_agents"] = _robots("SELECT crawl, count(DISTINCT agent) AS agents FROM named JOIN docs USING (doc_id) GROUP BY ALL")
     sql["q12_approximate_agents"] = _robots("SELECT DISTINCT crawl, true AS within_bound FROM named JOIN docs USING (doc_id)")
+    # A sketch of few values counts them exactly.
+    sql["q12_stored_agents"] = _robots(
+        "SELECT crawl, count(DISTINCT agent) AS agents FROM named JOIN docs USING (doc_id) GROUP BY ROLLUP (crawl)"
+    )
     return sql
