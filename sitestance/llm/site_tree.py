@@ -15,7 +15,7 @@ names of a class or id, and html, body, main and article are never furniture.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -38,7 +38,7 @@ BLOCK = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
 )
-NO_CONTENT = frozenset("head nav footer aside form menu dialog button select option label input fieldset".split())
+NO_CONTENT = frozenset("head nav footer aside form menu dialog button select option input fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner menu navbar nav navigation breadcrumb "
@@ -95,14 +95,31 @@ def _furniture(tag: str, marks: str, role: str, in_article: bool) -> bool:
     return any(w in MARKS or w.replace("_", "-") in COMPOUNDS for w in words)
 
 
+# Texts below a node are hashed as a polynomial over the hashes of blocks, so a node needs only
+# the places of its first and last block.
+_PRIME = (1 << 61) - 1
+_BASE = 0x5851F42D4C957F2D % _PRIME
+
+
 class _Page:
-    """Blocks of text in page order, and the nodes they lie in."""
+    """Blocks of text in page order, and the nodes they lie in, each with its parent.
+
+    Time and memory grow with the page alone, however deep its elements are nested.
+    """
 
     def __init__(self, html: str):
         self.stack: list[dict] = []
+        # Places in the stack by tag.
+        self.places: dict[str, list[int]] = {}
         self.text: list[str] = []
-        self.blocks: list[tuple[list[int], str, bool]] = []
-        self.nodes: dict[str, dict] = {}
+        # Node (-1: none), text, and whether it lies in an article.
+        self.blocks: list[tuple[int, str, bool]] = []
+        self.prefix, self.powers = [0], [1]
+        self.index: dict[tuple[int, str], int] = {}
+        self.parents: list[int] = []
+        self.names: list[int] = []
+        self.children: list[list[str]] = []
+        self.contents: list[int] = []
         position, raw = 0, ""
         while True:
             if raw:
@@ -117,11 +134,27 @@ class _Page:
             if found[2]:
                 raw = self._tag(found[2].lower(), bool(found[1]), found[3])
         self._flush()
+        self._cut(0)
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _cut(self, place: int) -> None:
+        """Close all elements from a place of the stack on."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.places[e["tag"]].pop()
+            if not e["out"]:
+                blocks = len(self.blocks) - e["start"]
+                power = self.powers[blocks]
+                inside = self.prefix[-1] - self.prefix[e["start"]] * power
+                self.contents[e["node"]] = (self.contents[e["node"]] * power + inside) % _PRIME
 
     def _end_head(self) -> None:
         """Text and elements of a body end a head whose end tag is left out."""
         if self.stack and self.stack[-1]["tag"] == "head":
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
 
     def _words(self, text: str) -> None:
         if text.strip():
@@ -134,10 +167,10 @@ class _Page:
         self.text.clear()
         if not text or (self.stack and self.stack[-1]["out"]):
             return
-        path = [e["node"] for e in self.stack]
-        self.blocks.append((path, text, any(e["article"] for e in self.stack)))
-        for e in self.stack:
-            self.nodes[e["path"]]["text"].append(text)
+        inner = self.stack[-1] if self.stack else {"node": -1, "article": False}
+        self.blocks.append((inner["node"], text, inner["article"]))
+        self.prefix.append((self.prefix[-1] * _BASE + (_hash(text) & ((1 << 64) - 1)) + 1) % _PRIME)
+        self.powers.append(self.powers[-1] * _BASE % _PRIME)
 
     def _tag(self, tag: str, closing: bool, attributes: str) -> str:
         """Take in a tag; the name of a raw element that it opens."""
@@ -155,59 +188,86 @@ class _Page:
         self._flush()
         self._end_head()
         if tag in CLOSES_P and self.stack and self.stack[-1]["tag"] == "p":
-            self.stack.pop()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i]["tag"] in PEERS.get(tag, ()):
-                del self.stack[i:]
-                break
-            if tag not in PEERS or self.stack[i]["tag"] in FENCES[tag]:
-                break
+            self._cut(len(self.stack) - 1)
+        if tag in PEERS:
+            peer = self._last(PEERS[tag])
+            if peer > self._last(FENCES[tag]):
+                self._cut(peer)
         self._open(tag, attributes)
         return ""
 
     def _open(self, tag: str, attributes: str) -> None:
-        above = self.stack[-1] if self.stack else {"path": "", "out": False, "article": False}
+        above = self.stack[-1] if self.stack else {"node": -1, "out": False, "article": False}
         marks, role = _marks(attributes) if attributes.strip(" /") else ("", "")
-        path = f"{above['path']}/{tag}.{marks}"
         out = above["out"] or _furniture(tag, marks, role, above["article"])
-        article = above["article"] or tag in ARTICLE or role == "main"
-        if not out:
-            self.nodes.setdefault(path, {"children": [], "text": []})
-            if self.stack:
-                self.nodes[above["path"]]["children"].append(f"{tag}.{marks}")
-        self.stack.append({"tag": tag, "path": path, "node": _hash(path), "out": out, "article": article and not out})
+        article = not out and (above["article"] or tag in ARTICLE or role == "main")
+        node = -1 if out else self._node(above["node"], f"{tag}.{marks}")
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append({"tag": tag, "node": node, "out": out, "article": article, "start": len(self.blocks)})
+
+    def _node(self, parent: int, label: str) -> int:
+        """The node of a label below a parent; a parent has a lower number than its children."""
+        if parent >= 0:
+            self.children[parent].append(label)
+        node = self.index.setdefault((parent, label), len(self.parents))
+        if node == len(self.parents):
+            self.parents.append(parent)
+            self.names.append(_hash(f"{self.names[parent] if parent >= 0 else ''}/{label}"))
+            self.children.append([])
+            self.contents.append(0)
+        return node
 
     def _close(self, tag: str) -> None:
-        if tag not in BLOCK and tag not in NO_CONTENT:
-            return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i]["tag"] == tag:
-                self._flush()
-                del self.stack[i:]
-                return
+        place = self._last((tag,)) if tag in BLOCK or tag in NO_CONTENT else -1
+        if place >= 0:
+            self._flush()
+            self._cut(place)
 
 
 def parse(html: str | None) -> tuple[list[dict], list[dict], int]:
-    """Blocks that may be main text, the nodes of the page's tree, and a hash of the text."""
+    """Blocks that may be main text, the nodes of the page's tree, and a hash of the text.
+
+    A block names its node, a node its parent, by their places among the nodes (-1: none).
+    """
     page = _Page(html or "")
     blocks = page.blocks
     if any(inside for *_, inside in blocks):
         blocks = [b for b in blocks if b[2]]
-    used = {n for path, *_ in blocks for n in path}
+    used: set[int] = {-1}
+    for node, *_ in blocks:
+        while node not in used:
+            used.add(node)
+            node = page.parents[node]
+    place = {node: i - 1 for i, node in enumerate(sorted(used))}
     nodes = [
-        {"node": n, "presentation": _hash("|".join(v["children"])), "content": _hash("\n".join(v["text"]))}
-        for n, v in ((_hash(p), v) for p, v in page.nodes.items())
-        if n in used
+        {
+            "parent": place[page.parents[n]],
+            "node": page.names[n],
+            "presentation": _hash("|".join(page.children[n])),
+            "content": page.contents[n],
+        }
+        for n in place
+        if n >= 0
     ]
-    rows = [{"path": path, "text": text} for path, text, _ in blocks]
+    rows = [{"node": place[node], "text": text} for node, text, _ in blocks]
     return rows, nodes, _hash("\n".join(b["text"] for b in rows))
 
 
-_BLOCKS = pa.list_(pa.struct([("path", pa.list_(pa.int64())), ("text", pa.string())]))
-_NODES = pa.list_(pa.struct([("node", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64())]))
+def _without(blocks: list[dict], parents: list[int], names: list[int], noise: list[int] | None) -> str:
+    """The texts of the blocks that lie below none of the noisy nodes."""
+    noisy = set(noise or ())
+    gone = [False] * (len(names) + 1)
+    for i, (parent, name) in enumerate(zip(parents, names)):
+        # The last place stands for no node.
+        gone[i] = gone[parent] or name in noisy
+    return "\n\n".join(b["text"] for b in blocks if not gone[b["node"]])
+
+
+_BLOCKS = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
+_NODES = pa.list_(pa.struct([("parent", pa.int32()), ("node", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64())]))
 _PARSED = (
-    "row bigint, page_id bigint, url string, blocks array<struct<path:array<bigint>,text:string>>, "
-    "nodes array<struct<node:bigint,presentation:bigint,content:bigint>>, key bigint"
+    "row bigint, page_id bigint, url string, blocks array<struct<node:int,text:string>>, "
+    "nodes array<struct<parent:int,node:bigint,presentation:bigint,content:bigint>>, key bigint"
 )
 
 
@@ -227,6 +287,13 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(arrays, ["row", "page_id", "url", "blocks", "nodes", "key"])
 
 
+def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_without(*page) for page in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+        arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text"])
+
+
 def _host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -267,8 +334,10 @@ def extract(pages: DataFrame) -> DataFrame:
     seen = parsed.select("row", "host", F.explode("nodes.node").alias("node"))
     cut = look_up(seen, noise, ["host", "node"], spread=["row"], how="inner")
     cut = stored(cut.groupBy("row").agg(F.collect_set("node").alias("cut")), "tree-cuts")
-    joined = look_up(parsed.drop("nodes", "key", "host"), cut, ["row"], spread=["row"], weight=F.size("cut"))
-    none = F.coalesce("cut", F.array().cast("array<bigint>"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("cut_")))
-    texts = joined.withColumn("cut_", none).withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
-    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+    tree = [F.col("nodes.parent").alias("parents"), F.col("nodes.node").alias("names")]
+    narrow = parsed.select("row", "page_id", "url", "blocks", *tree)
+    joined = look_up(narrow, cut, ["row"], spread=["row"], weight=F.size("cut"))
+    texts = joined.select("page_id", "url", "blocks", "parents", "names", "cut").mapInArrow(
+        _text_batches, "page_id bigint, url string, text string"
+    )
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))

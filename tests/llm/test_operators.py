@@ -400,10 +400,58 @@ def test_compound_names_of_furniture():
         assert not site_tree.parse(f'<div class="{name}"><p>no</p></div>')[0]
 
 
+def test_nodes_have_the_same_content_where_their_texts_are_the_same():
+    def contents(html):
+        return {n["node"]: n["content"] for n in site_tree.parse(html)[1]}
+
+    one = contents("<div><p>a</p><p>b</p></div>")
+    assert one == contents("<div><p>a</p></div><div><p>b</p></div>") and one != contents("<div><p>b</p><p>a</p></div>")
+    assert one == contents("<ol></ol><div>\n <p> a</p><p>b</p></div>") != contents("<div><p>ab</p></div>")
+    blocks, nodes, _ = site_tree.parse("<p>top</p>x<div><ul><li>a<li>b</ul></div>")
+    above = [[nodes[b["node"]]["parent"] if b["node"] >= 0 else None] for b in blocks]
+    assert [b["text"] for b in blocks] == ["top", "x", "a", "b"] and above[1] == [None] and above[2] == above[3] != [-1]
+    assert [b["text"] for b in site_tree.parse("<p>text with <label>inline</label> label</p>")[0]] == ["text with inline label"]
+
+
+def test_importance_by_definition(spark):
+    """What a host repeats, against entropies counted in plain Python."""
+    import math
+    from collections import Counter, defaultdict
+
+    bodies = [f'<div id="n"><p>same</p><p>v{i % 2}</p></div><div id="t"><p>own {i}</p></div><p>foot</p>' for i in range(9)]
+    html = [page(b) for b in bodies] + [page(bodies[0])]
+    seen = defaultdict(dict)
+    for text in html:
+        _, nodes, key = site_tree.parse(text)
+        for n in nodes:
+            seen[n["node"]][key] = (n["presentation"], n["content"])
+
+    def entropy(values):
+        counts = Counter(values).values()
+        return sum(c * math.log(sum(counts) / c) for c in counts) / sum(counts) / math.log(sum(counts))
+
+    low = {n for n, by in seen.items() if len(by) >= site_tree.MIN_PAGES
+           and max(entropy([v[k] for v in by.values()]) for k in (0, 1)) < site_tree.LOW_IMPORTANCE}
+    expected = []
+    for i, text in enumerate(html):
+        blocks, nodes, _ = site_tree.parse(text)
+        kept = []
+        for b in blocks:
+            n, out = b["node"], False
+            while n >= 0:
+                out, n = out or nodes[n]["node"] in low, nodes[n]["parent"]
+            kept += [] if out else [b["text"]]
+        expected.append((i, "\n\n".join(kept)))
+    frame = spark.createDataFrame([(i, "http://a.org/", t) for i, t in enumerate(html)], "page_id long, url string, html string")
+    assert low and pairs(site_tree.extract(frame).select("page_id", "text")) == sorted(expected, key=repr)
+
+
 def test_hostile_html_takes_linear_time():
     import time
 
-    for text in ("<p " * 20_000, "<h1>" * 3_000, '<b x="' * 20_000, "<!--" * 20_000, "<script" * 20_000):
+    deep, items = "<div>" * 4_000, "<ul>" * 4_000
+    nested = (deep + "<p>x</p>" * 4_000, deep + "<li>x" * 4_000, deep + "x</p>" * 4_000, items + "<li>x</ul>" * 4_000)
+    for text in (*nested, "<p " * 20_000, "<h1>" * 3_000, '<b x="' * 20_000, "<!--" * 20_000, "<script" * 20_000):
         start = time.perf_counter()
         site_tree.parse(text)
         assert time.perf_counter() - start < 3
