@@ -107,12 +107,22 @@ class Filter:
         self.data = np.frombuffer(data, np.uint8)
         self.bits = 8 * len(data)
 
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for at in _bits_of(keys, self.bits):
-            found &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the keys are that may have been put in; a further bit is read only where those before are set."""
+        found = np.arange(len(keys))
+        for probe in range(PROBES):
+            if probe:
+                keys = mix(keys + _ODD)
+            at = keys & np.uint64(self.bits - 1)
+            hit = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            found, keys = found[hit], keys[hit]
         return found
 
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        held = np.zeros(len(keys), bool)
+        held[self.places(keys)] = True
+        return held
+
 
 def bloom(rows: DataFrame, by_shard: bool) -> bytes:
     """The filter of stored phrase hashes ``(shard, h)``; at most MOST_BITS go to the driver."""
@@ -193,9 +203,15 @@ def _local(levels: tuple[int, ...], below: bytes | None):
             _, hashes, counts = _counts(ids, words)
             yield mix(hashes + np.uint64(_lang_seed(lang))), counts
             return
-        often = None
-        for k, (h, whole) in enumerate(phrase_hashes(np.array(words.hashes)[ids], _lang_seed(lang), levels[-1]), 1):
-            if k == levels[0] - 1:
+        often, seed = None, _lang_seed(lang)
+        for k, (h, whole) in enumerate(phrase_hashes(np.array(words.hashes)[ids], seed, levels[-1]), 1):
+            if k == levels[0] - 1 == 1:
+                # Words are looked up once each, not at each of their places.
+                found, own, _ = _counts(ids, words)
+                known = np.zeros(len(words.names), bool)
+                known[found] = Filter(below).holds(shard_key(mix(own + np.uint64(seed)), shard))
+                often = known[ids]
+            elif k == levels[0] - 1:
                 often = Filter(below).holds(shard_key(h, shard))
             elif k in levels:
                 often = often[: len(h)] & often[1 : len(h) + 1]
@@ -226,20 +242,24 @@ def _exact(candidates: bytes):
         phrases = [""] + [name(i).decode("utf-8", "surrogatepass") for i in found[known].tolist()]
         sizes = [0] + [1] * (len(phrases) - 1)
         counts = [int(counts.sum())] + counts[known].tolist()
-        for k, (h, whole) in enumerate(phrase_hashes(hashes, _lang_seed(lang), LONGEST), 1):
-            if k == 1:
-                continue
-            at = np.flatnonzero(whole)
-            at = at[wanted.holds(h[at])]
-            at = at[np.argsort(h[at], kind="stable")]
-            rows = ids[at[:, None] + np.arange(k)]
+        held = np.zeros(len(words.names), bool)
+        held[found[known]] = True
+        at = np.flatnonzero(held[ids])
+        h = mix(hashes[at] + np.uint64(_lang_seed(lang)))
+        for k in range(2, LONGEST + 1):
+            # A candidate's first and last k - 1 words are candidates as well.
+            both = np.flatnonzero(at[1:] == at[:-1] + 1)
+            at, h = at[both], mix(h[both] * _ODD + hashes[at[both] + k - 1])
+            may = wanted.places(h)
+            at, h = at[may], h[may]
+            order = np.argsort(h, kind="stable")
+            same, rows = h[order], ids[at[order][:, None] + np.arange(k)]
             differs = (rows[1:] != rows[:-1]).any(axis=1)
-            if (differs & (h[at][1:] == h[at][:-1])).any():  # two phrases with one hash
-                order = np.lexsort(rows.T)
-                at, rows = at[order], rows[order]
+            if (differs & (same[1:] == same[:-1])).any():  # two phrases with one hash
+                rows = rows[np.lexsort(rows.T)]
                 differs = (rows[1:] != rows[:-1]).any(axis=1)
-            first = np.flatnonzero(np.concatenate([[True], differs])) if len(at) else np.zeros(0, np.int64)
-            counts += np.diff(np.append(first, len(at))).tolist()
+            first = np.flatnonzero(np.concatenate([[True], differs])) if len(rows) else np.zeros(0, np.int64)
+            counts += np.diff(np.append(first, len(rows))).tolist()
             sizes += [k] * len(first)
             phrases += [b" ".join(map(name, row)).decode("utf-8", "surrogatepass") for row in rows[first].tolist()]
         columns = [[lang] * len(counts), phrases, sizes, counts]

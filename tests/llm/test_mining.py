@@ -260,3 +260,30 @@ def test_phrase_sql(spark, sf_dir):
         expected = sorted(map(repr, db.sql(phrases.ORACLE_SQL).fetchall()))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert rows_of(phrases.collocations(docs)) == expected
+
+
+@pytest.mark.parametrize("hashes, positions", [(None, 1 << 21), (7, 1 << 21), (None, 40), (7, 40)])
+def test_exact_counts_in_this_process(monkeypatch, hashes, positions):
+    """Counts of a task, also where most phrases share a hash (workers do not see what a test replaces)."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    whole = phrases.mix
+    if hashes:
+        monkeypatch.setattr(phrases, "mix", lambda h: whole(h) & hashes)
+    monkeypatch.setattr(phrases, "POSITIONS", positions)
+    draw = random.Random(3)
+    texts = ["", "a", *(" ".join(draw.choice(["a", "b", "c", "d.", "e"]) for _ in range(draw.randrange(30))) for _ in range(40))]
+    batch = pa.RecordBatch.from_pydict({"lang": ["x"] * len(texts), "shard": [0] * len(texts), "need": [1] * len(texts), "text": texts})
+    found, expected = Counter(), Counter()
+    for part in phrases._exact(b"\xff" * 8)(iter([batch])):
+        for row in part.to_pylist():
+            found[row["phrase"], row["k"]] += row["n"]
+    for text in texts:
+        for piece in text.split("."):
+            words = piece.split()
+            expected["", 0] += len(words)
+            expected.update((" ".join(words[i : i + k]), k) for k in range(1, 6) for i in range(len(words) - k + 1))
+    assert +found == expected
