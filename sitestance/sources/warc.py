@@ -467,18 +467,26 @@ def scan(
 
     With ``split_bytes`` a stretch of a file is.  Where a stretch starts inside a record, the
     reader looks for the next record start; a page that is itself an archive can deceive it,
-    which :func:`misread` finds and :func:`store` mends.
+    which :func:`misread` finds and :func:`store` mends.  A task reads short stretches one after
+    the other, SPLIT_BYTES in all, so that tasks and their files follow the bytes, not the stretches.
     """
     whole = F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end")
     parts = paths.select("path", *whole) if split_bytes is None else ranges(paths, split_bytes)
-    tasks = max(1, -(-parts.count() // files_per_task))
+    count = parts.count()
+    if split_bytes is None:
+        tasks = -(-count // files_per_task)
+    else:
+        # Every core has work, however little there is.
+        cores = paths.sparkSession.sparkContext.defaultParallelism
+        tasks = max(min(count, cores), -(-count // max(1, SPLIT_BYTES // split_bytes)))
 
     def read(batches):
         for batch in batches:
-            for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end"))):
-                yield from _batches(read_file(path, limit, start, end), rows_per_batch)
+            stretches = zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end")))
+            rows = (row for path, start, end in stretches for row in read_file(path, limit, start, end))
+            yield from _batches(rows, rows_per_batch)
 
-    return parts.repartition(tasks).mapInArrow(read, SCHEMA)
+    return parts.repartition(max(1, tasks)).mapInArrow(read, SCHEMA)
 
 
 def misread(records: DataFrame) -> DataFrame:

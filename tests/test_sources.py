@@ -150,6 +150,16 @@ def test_stored_scan_equals_an_undivided_one(spark, divided, tmp_path):
     assert not again & {"plain.warc", "zipped.warc.gz", "pairs.warc.gz", "one_member.warc.gz", "answers.warc"}
 
 
+def test_tasks_follow_bytes_not_ranges(spark, divided):
+    """Short ranges share tasks, so a scan has as many tasks and files as its bytes need."""
+    paths = spark.createDataFrame([(str(divided / n),) for n in ("plain.warc", "zipped.warc.gz")], "path string")
+    count = warc.ranges(paths, 64).count()
+    found = warc.scan(paths, -1, split_bytes=64)
+    assert count > 100 and found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    key = lambda r: (r["file"], r["offset"])
+    assert sorted(found.collect(), key=key) == sorted(warc.scan(paths, -1).collect(), key=key)
+
+
 def test_missing_file_is_an_error_row(spark):
     df = warc.scan(spark.createDataFrame([("/tmp/none/x.warc",)], "path string"))
     assert df.first()["error"]
