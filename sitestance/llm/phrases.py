@@ -10,7 +10,8 @@ A shard is any number of tasks: each gathers partial counts of a bounded number
 and Spark sums them by shard and phrase.  The number of shards is fixed, since more of them
 would lower the support until nothing is pruned.  While shards are mined, phrases go by 64-bit
 hashes, and a level is pruned by a Bloom filter of the level below, of bounded size; a false hit
-costs a count and drops nothing.  The last pass counts the words themselves, not hashes.
+costs a count and drops nothing.  Words are taken apart once for all levels: each shard's are stored
+as hashes and numbers.  The last pass counts the words themselves, not hashes.
 """
 
 from __future__ import annotations
@@ -191,26 +192,55 @@ def _counts(ids: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.n
     return found, np.array(words.hashes)[found], counts[found]
 
 
+def _numbered(words: Words, lang: str, shard: int, need: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row: the hashes of the different words, and each position's place among them (from 1, 0 ends a piece)."""
+    found, own, _ = _counts(ids, words)
+    width = 2 if len(found) < 1 << 16 else 4
+    places = np.zeros(len(words.names), f"<u{width}")
+    places[found] = np.arange(1, len(found) + 1)
+    row = (lang, shard, need, width, own.astype("<u8").tobytes(), places[ids].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNK)], schema=_CHUNK)
+
+
+_CHUNK = pa.schema(
+    [("lang", pa.string()), ("shard", pa.int32()), ("need", pa.int64()), ("width", pa.int32())]
+    + [("words", pa.binary()), ("places", pa.binary())]
+)
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """The positions of ``rows (lang, shard, need, text)``, a stored row for so many of a language and shard."""
+    parts = rows.mapInArrow(
+        _gather(_numbered), "lang string, shard int, need bigint, width int, words binary, places binary"
+    )
+    # Rows are large: readers take a row group's at once.
+    return stored(parts, "phrases-chunks", {"parquet.block.size": 1 << 25})
+
+
 def _local(levels: tuple[int, ...], below: bytes | None):
-    """Partial counts ``(shard, h, need, n)`` of phrases of so many words.
+    """Partial counts ``(shard, h, need, n)`` of phrases of so many words, from ``chunks``.
 
     Their parts of the length under the first of ``levels`` must all be in the filter ``below``.
     """
     names = ["shard", "h", "need", "n"]
 
-    def partial(ids: np.ndarray, words: Words, lang: str, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def partial(parts: list[tuple], lang: str, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seed = np.uint64(_lang_seed(lang))
         if below is None:
-            _, hashes, counts = _counts(ids, words)
-            yield mix(hashes + np.uint64(_lang_seed(lang))), counts
+            h = mix(np.concatenate([own for own, _ in parts]) + seed)
+            counts = np.concatenate([np.bincount(at, minlength=len(own) + 1)[1:] for own, at in parts])
+            order = np.argsort(h)
+            h, counts = h[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            yield h[first], np.add.reduceat(counts, first) if len(h) else counts
             return
-        often, seed = None, _lang_seed(lang)
-        for k, (h, whole) in enumerate(phrase_hashes(np.array(words.hashes)[ids], seed, levels[-1]), 1):
+        often = None
+        words = np.concatenate([np.concatenate([np.zeros(1, np.uint64), own])[at] for own, at in parts])
+        for k, (h, whole) in enumerate(phrase_hashes(words, int(seed), levels[-1]), 1):
             if k == levels[0] - 1 == 1:
                 # Words are looked up once each, not at each of their places.
-                found, own, _ = _counts(ids, words)
-                known = np.zeros(len(words.names), bool)
-                known[found] = Filter(below).holds(shard_key(mix(own + np.uint64(seed)), shard))
-                often = known[ids]
+                known = (Filter(below).holds(shard_key(mix(own + seed), shard)) for own, _ in parts)
+                often = np.concatenate([np.concatenate([[False], held])[at] for held, (_, at) in zip(known, parts)])
             elif k == levels[0] - 1:
                 often = Filter(below).holds(shard_key(h, shard))
             elif k in levels:
@@ -219,13 +249,30 @@ def _local(levels: tuple[int, ...], below: bytes | None):
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
                 yield h[first], np.diff(np.append(first, len(h)))
 
-    def emit(words: Words, lang: str, shard: int, need: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for h, counts in partial(ids, words, lang, shard):
+    def emit(group: tuple[str, int, int], parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lang, shard, need = group
+        for h, counts in partial(parts, lang, shard):
             fixed = [pa.array(np.full(len(h), v, t)) for v, t in ((shard, np.int32), (need, np.int64))]
             columns = [fixed[0], pa.array(h.view(np.int64)), fixed[1], pa.array(counts)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _gather(emit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[tuple]] = {}
+        size = 0
+        for batch in batches:
+            fixed = zip(*(batch.column(c).to_pylist() for c in range(4)))
+            for (lang, shard, need, width), words, places in zip(fixed, batch.column(4), batch.column(5)):
+                own, at = np.frombuffer(words.as_buffer(), "<u8"), np.frombuffer(places.as_buffer(), f"<u{width}")
+                held.setdefault((lang, shard, need), []).append((own, at))
+                size += len(at)
+                if size >= POSITIONS:
+                    for group, parts in held.items():
+                        yield from emit(group, parts)
+                    held, size = {}, 0
+        for group, parts in held.items():
+            yield from emit(group, parts)
+
+    return run
 
 
 def _exact(candidates: bytes):
@@ -234,26 +281,29 @@ def _exact(candidates: bytes):
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 
     def emit(words: Words, lang: str, shard: int, need: int, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        wanted = Filter(candidates)
-        hashes = np.array(words.hashes)[ids]
+        wanted, seed = Filter(candidates), _lang_seed(lang)
         name = words.names.__getitem__
         found, own, counts = _counts(ids, words)
-        known = wanted.holds(mix(own + np.uint64(_lang_seed(lang))))
+        known = wanted.holds(mix(own + np.uint64(seed)))
         phrases = [""] + [name(i).decode("utf-8", "surrogatepass") for i in found[known].tolist()]
         sizes = [0] + [1] * (len(phrases) - 1)
         counts = [int(counts.sum())] + counts[known].tolist()
-        held = np.zeros(len(words.names), bool)
-        held[found[known]] = True
-        at = np.flatnonzero(held[ids])
-        h = mix(hashes[at] + np.uint64(_lang_seed(lang)))
-        for k in range(2, LONGEST + 1):
+        # Other words end a piece as well; of the ends that follow each other one stays.
+        kept = np.zeros(len(words.names), np.int32)
+        kept[found[known]] = found[known]
+        ids = kept[ids]
+        ids = ids[(ids > 0) | np.concatenate([[True], ids[:-1] > 0])]
+        held = ids > 0
+        for k, (h, _) in enumerate(phrase_hashes(np.array(words.hashes)[ids], seed, LONGEST), 1):
+            if k == 1:
+                continue
             # A candidate's first and last k - 1 words are candidates as well.
-            both = np.flatnonzero(at[1:] == at[:-1] + 1)
-            at, h = at[both], mix(h[both] * _ODD + hashes[at[both] + k - 1])
-            may = wanted.places(h)
-            at, h = at[may], h[may]
-            order = np.argsort(h, kind="stable")
-            same, rows = h[order], ids[at[order][:, None] + np.arange(k)]
+            at = np.flatnonzero(held[: len(h)] & held[1 : len(h) + 1])
+            at = at[wanted.places(h[at])]
+            held = np.zeros(len(h), bool)
+            held[at] = True
+            order = np.argsort(h[at], kind="stable")
+            same, rows = h[at[order]], ids[at[order][:, None] + np.arange(k)]
             differs = (rows[1:] != rows[:-1]).any(axis=1)
             if (differs & (same[1:] == same[:-1])).any():  # two phrases with one hash
                 rows = rows[np.lexsort(rows.T)]
@@ -287,9 +337,9 @@ def dealt(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> Data
 
 def mined(rows: DataFrame) -> DataFrame:
     """``shard, h`` of every phrase that is frequent in a shard."""
-    found, below = [], None
+    found, below, parts = [], None, chunks(rows)
     for levels in LEVELS:
-        partial = rows.mapInArrow(_local(levels, below), "shard int, h bigint, need bigint, n bigint")
+        partial = parts.mapInArrow(_local(levels, below), "shard int, h bigint, need bigint, n bigint")
         summed = partial.groupBy("shard", "h").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
         often = stored(summed.where("n >= need").select("shard", "h"), f"phrases-of-{levels[0]}")
         found.append(often)

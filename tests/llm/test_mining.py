@@ -243,6 +243,27 @@ def test_equal_hashes_are_told_apart(spark, odd, monkeypatch):
     assert rows_of(phrases.collocations(table(spark, odd), 4)) == brute_phrases(odd, 4, 2000)
 
 
+@pytest.mark.parametrize("positions", [1 << 21, 40])
+def test_chunks_give_words_back(monkeypatch, positions):
+    """Stored hashes and places spell every text, piece by piece, and levels count from them alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "POSITIONS", positions)
+    texts = ["", "a b. a b c", "b c a b", *(f"w{i} a b" for i in range(30))]
+    batch = pa.RecordBatch.from_pydict({"lang": ["x", "y"] * 16 + ["x"], "shard": [0] * 33, "need": [1] * 33, "text": texts})
+    parts = list(phrases._gather(phrases._numbered)(iter([batch])))
+    found = []
+    for row in (r for part in parts for r in part.to_pylist()):
+        words = np.frombuffer(row["words"], "<u8")
+        places = np.frombuffer(row["places"], f"<u{row['width']}")
+        found += [(row["lang"], int(words[at - 1]) if at else 0) for at in places]
+    names = {phrases.xxhash.xxh64_intdigest(w) | 1: w for t in texts for w in phrases.tokens(t)}
+    spelled = sorted((lang, names[h]) for lang, h in found if h)
+    assert spelled == sorted((l, w) for l, t in zip(["x", "y"] * 17, texts) for w in phrases.tokens(t) if w != b".")
+    counted = [r["n"] for part in phrases._local((1,), None)(iter(parts)) for r in part.to_pylist()]
+    assert sum(counted) == len(spelled)
+
+
 def test_scores_pass_64_bits(spark):
     rows = spark.sql(
         "select 9000000000000l a, 8000000000000000l total, 9000000000001l l, 9100000000000l r"
