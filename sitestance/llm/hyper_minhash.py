@@ -12,12 +12,13 @@ reach 0.8 (four standard errors off) is verified, by the full sets of both texts
 Candidates are compared without forming all pairs.  First each text meets the head of each
 of its bands; its likeliest head is verified, and what is linked forms a component.  A band whose texts all lie in one component needs nothing more.  In the
 others the texts outside the band's largest component are compared with all of the band,
-block by block, so that no pair of two components is left out; only likely pairs become rows.
+block by block and in registers of four bits, so that no pair of two components is left out.  Likely
+pairs are kept as lists, and the full sets of their texts meet cell by cell: rows follow the texts, not the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ BANDS = REGISTERS // WIDTH
 ERRORS = 4.0
 # Texts of a band that are compared at once.
 BLOCK = 256
+# Pairs of blocks that are looked at together.
+COMPARED = 1 << 15
+# Texts whose full sets are compared in one group.
+CELL = 512
 REMEMBERED = 200_000
 # Shingles of the sets that a task of the verification remembers.
 HELD = 1 << 21
@@ -191,12 +196,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(alike) for c in (0, 1)], ["a", "b"])
 
 
+def _bodies(used: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the nodes ``used``."""
+    named = stored(texts.select("node", "content").join(used, "node", "left_semi"), "hyper-used")
+    found = look_up(_narrow(docs), named, ["content"], ["doc_id"], "inner")
+    return stored(found.groupBy("node").agg(F.first("text").alias("text")), "hyper-texts-used")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The stored ``pairs (a, b)`` whose full sets are alike."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    named = stored(texts.select("node", "content").join(used, "node", "left_semi"), "hyper-used")
-    found = look_up(_narrow(docs), named, ["content"], ["doc_id"], "inner")
-    bodies = stored(found.groupBy("node").agg(F.first("text").alias("text")), "hyper-texts-used")
+    bodies = _bodies(used, texts, docs)
     one = bodies.select(F.col("node").alias("a"), "text")
     other = bodies.select(F.col("node").alias("b"), F.col("text").alias("of_b"))
     other = other.join(pairs.select("b").distinct(), "b", "left_semi")
@@ -231,33 +241,85 @@ def _headed(rows: DataFrame) -> DataFrame:
     return stored(look_up(met.drop("n"), heads, ["key"], ["node"], "inner"), "hyper-met")
 
 
+def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, n, coarse`` of rows ``node, n, sketch``: four bits for a register, zero where it is empty."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        registers = _registers(batch.column(2))
+        small = np.where(registers > 0, 1 + _mix(registers.astype(np.uint64)) % np.uint64(15), 0).astype(np.uint8)
+        packed = (small[:, ::2] << 4) | small[:, 1::2]
+        columns = [batch.column(0), batch.column(1), pa.array(map(bytes, packed), pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "coarse"])
+
+
+class _Members:
+    """The members of a batch's lists, field by field, and where each list begins."""
+
+    def __init__(self, lists: pa.ListArray):
+        sizes = lists.value_lengths().fill_null(0).to_numpy()
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        flat = lists.flatten()
+        self.node, self.comp, self.n = (flat.field(f).to_numpy() for f in ("node", "comp", "n"))
+        self.few = flat.field("few").to_numpy(zero_copy_only=False)
+        packed = np.frombuffer(b"".join(flat.field("coarse").to_pylist()), np.uint8).reshape(-1, REGISTERS // 2)
+        self.coarse = np.stack([packed >> 4, packed & 15], axis=2).reshape(-1, REGISTERS)
+
+
+def _lists(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs as rows ``a, bs``: the smaller end of each pair once, with the larger ones."""
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    ends, first = np.unique(pairs[0], return_index=True)
+    bs = pa.ListArray.from_arrays(pa.array(np.append(first, pairs.shape[1]), pa.int32()), pa.array(pairs[1], pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), bs], ["a", "bs"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of blocks ``others`` and ``some``; where that is null, the few among the others.
+
+    Coarse registers that differ are of registers that differ, so no pair is given up that whole
+    registers would keep.
+    """
     for batch in batches:
-        found: list[tuple] = []
-        for few, all_, band in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            node, comp, n, regs, small = (
-                [np.array([r[f] for r in rows]) if f != "sketch" else _registers(pa.array([r[f] for r in rows], pa.binary())) for rows in (few, all_)]
-                for f in ("node", "comp", "n", "sketch", "few")
-            )
-            words = [r.view("<u8") for r in regs]
-            for i in range(len(few)):
-                # Two texts are compared in the first band that they share, and there once.
-                shared = (words[1] == words[0][i]) & (words[0][i] > 0)
-                own = (shared.argmax(axis=1) == band) & (comp[1] != comp[0][i])
-                at = np.flatnonzero(own & (~small[1] | (node[1] > node[0][i])))
-                if not len(at):
-                    continue
-                keep, _ = likely(
-                    np.broadcast_to(regs[0][i], (len(at), REGISTERS)), regs[1][at], np.full(len(at), n[0][i]), n[1][at]
-                )
-                found += [(node[0][i], b) for b in node[1][at[keep]].tolist()]
-        columns = zip(*found) if found else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+        if not len(batch):
+            continue
+        some, others = (_Members(batch.column(c)) for c in (0, 1))
+        alone = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        found, held = [], 0
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            a, b, n, m, one, other = (np.concatenate(x) for x in zip(*found))
+            keep, _ = likely(one, other, n, m)
+            if keep.any():
+                yield _lists(a[keep], b[keep])
+
+        for row in range(len(batch)):
+            own, all_ = (some, others) if not alone[row] else (others, others)
+            i = np.arange(own.starts[row], own.ends[row])
+            i = i[own.few[i]]
+            j = np.arange(all_.starts[row], all_.ends[row])
+            n, m = own.n[i][:, None], all_.n[j]
+            met = (own.comp[i][:, None] != all_.comp[j]) & (~all_.few[j] | (all_.node[j] > own.node[i][:, None]))
+            met &= 100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
+            x, y = np.nonzero(met)
+            if len(x):
+                x, y = i[x], j[y]
+                found.append((own.node[x], all_.node[y], own.n[x], all_.n[y], own.coarse[x], all_.coarse[y]))
+                held += len(x)
+            if held >= COMPARED:
+                yield from kept()
+                found, held = [], 0
+        if found:
+            yield from kept()
 
 
 def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Likely pairs ``a, b`` of texts that share a band (``met``: node, band, key) and lie in two components."""
-    labelled = look_up(met, roots, ["node"], ["key"]).select("key", "band", "node", F.coalesce("root", "node").alias("comp"))
+    """Likely pairs of texts that share a band (``met``: node, key) and lie in two components.
+
+    Rows are ``a, bs``, one for each end of pairs that a task meets, not one for each pair.
+    """
+    labelled = look_up(met, roots, ["node"], ["key"]).select("key", "node", F.coalesce("root", "node").alias("comp"))
     labelled = stored(labelled, "hyper-labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     mixed = stored(mixed.select("key"), "hyper-mixed")
@@ -269,18 +331,93 @@ def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     )
     rows = look_up(rows, stored(groups, "hyper-groups"), ["key"], ["node"], "inner")
     rows = rows.withColumn("few", F.col("comp") != F.col("top"))
-    rows = rows.join(texts.select("node", "n", "sketch"), "node")
-    member = F.struct("node", "comp", "n", "sketch", "few")
+    coarse = texts.select("node", "n", "sketch").mapInArrow(_coarse, "node bigint, n bigint, coarse binary")
+    rows = stored(rows.join(coarse, "node"), "hyper-rows-across")
+    member = F.struct("node", "comp", "n", "coarse", "few")
 
     def blocks(part: DataFrame, size: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK)).alias("block")
-        return part.groupBy("key", "band", block).agg(F.collect_list(member).alias(name)).drop("block")
+        return part.groupBy("key", block).agg(F.collect_list(member).alias(name)).drop("block")
 
-    rows = stored(rows, "hyper-rows-across")
-    pairs = blocks(rows.where("few"), "rest", "some").join(
-        blocks(rows, "whole", "others").drop("band"), "key"
-    )
-    return pairs.select("some", "others", "band").mapInArrow(_compare, "a bigint, b bigint").distinct()
+    # Most bands are a single block.
+    one = rows.where(F.col("whole") <= BLOCK).groupBy("key").agg(F.collect_list(member).alias("others"))
+    large = rows.where(F.col("whole") > BLOCK)
+    pairs = blocks(large.where("few"), "rest", "some").join(blocks(large, "whole", "others"), "key")
+    pairs = pairs.select("some", "others").unionByName(one.select("others"), allowMissingColumns=True)
+    return pairs.select("some", "others").mapInArrow(_compare, "a bigint, bs array<bigint>")
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64())], ["node"])
+
+
+def _dealt(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``a, bs`` as ``cell, a, bs``, a row for each cell of the larger ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            b = batch.column(1).flatten().to_numpy()
+            order = np.lexsort((b, a, b % cells))
+            a, b, cell = a[order], b[order], b[order] % cells
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (cell[1:] != cell[:-1]))) if len(a) else order
+            bs = pa.ListArray.from_arrays(pa.array(np.append(first, len(b)), pa.int32()), pa.array(b, pa.int64()))
+            columns = [pa.array(cell[first], pa.int64()), pa.array(a[first], pa.int64()), bs]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "a", "bs"])
+
+    return run
+
+
+def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links ``a, b`` among ``a, bs, own`` and ``b, other``, less those that others imply."""
+    texts = dict(zip(right.column("b").to_pylist(), right.column("other").to_pylist()))
+    sets: dict[int, np.ndarray] = {}
+    above: dict[int, int] = {}
+
+    def top(node: int) -> int:
+        while (up := above.get(node, node)) != node:
+            above[node] = node = above.get(up, up)
+        return node
+
+    found = []
+    for a, lists, text in zip(*(left.column(c).to_pylist() for c in ("a", "bs", "own"))):
+        own = shingles(text)
+        for b in sorted({b for bs in lists for b in bs}):
+            if top(a) == top(b):
+                continue
+            if b not in sets:
+                sets[b] = shingles(texts[b])
+            shared = len(np.intersect1d(own, sets[b], assume_unique=True))
+            if 100 * shared >= THRESHOLD * (len(own) + len(sets[b]) - shared):
+                above[top(a)] = top(b)
+                found.append((a, b))
+    columns = zip(*found) if found else ([], [])
+    return pa.table({name: pa.array(c, pa.int64()) for name, c in zip("ab", columns)})
+
+
+def confirmed(lists: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join what the stored pairs ``a, bs`` join whose full sets are alike.
+
+    The larger ends are dealt into cells of about CELL texts; a cell's smaller ends come in parts
+    of about as many.  So however many pairs there are among some texts, each text is copied once
+    for each cell or part that it has pairs in.
+    """
+    used = stored(lists.mapInArrow(_ends, "node bigint").distinct(), "hyper-ends")
+    bodies = _bodies(used, texts, docs)
+    cells = max(1, -(-used.count() // CELL))
+    dealt = lists.mapInArrow(_dealt(cells), "cell bigint, a bigint, bs array<bigint>")
+    dealt = stored(dealt.groupBy("cell", "a").agg(F.collect_list("bs").alias("bs")), "hyper-dealt")
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    parts = stored(parts, "hyper-parts")
+    left = look_up(dealt, parts, ["cell"], ["a"], "inner").withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
+    left = left.join(bodies.withColumnRenamed("node", "a"), "a").select("cell", "part", "a", "bs", F.col("text").alias("own"))
+    right = look_up(bodies.withColumn("cell", F.col("node") % cells), parts, ["cell"], ["node"], "inner")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    right = right.select("cell", "part", F.col("node").alias("b"), F.col("text").alias("other"))
+    both = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
+    return both.applyInArrow(_confirm, "a bigint, b bigint")
 
 
 def _united(roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -309,10 +446,10 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stored(verified(stored(best, "hyper-best"), texts, docs), "hyper-links")
     roots = stored(components(found, "hyper-components"), "hyper-roots")
-    across = stored(_across(met.drop("head"), roots, texts), "hyper-across")
+    across = stored(_across(met.select("node", "key"), roots, texts), "hyper-across")
     if across.isEmpty():
         return roots
-    more = stored(verified(across, texts, docs), "hyper-more")
+    more = stored(confirmed(across, texts, docs), "hyper-more")
     return stored(_united(roots, more), "hyper-roots")
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,58 @@ def test_links_across_components(spark, monkeypatch):
     assert rows_of(hyper_minhash.near_duplicates(table(spark, rows))) == brute_components(rows)
 
 
+def test_rows_follow_texts_not_pairs(spark, monkeypatch):
+    """Many texts a little less alike than 0.8, with one long chain of links through them."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    base = draw.choices(words, k=140)
+    rows = []
+    for i in range(220):
+        text = list(base)
+        for at in draw.sample(range(140), 4):
+            text[at] = draw.choice(words)
+        rows.append((i, " ".join(text), "en"))
+    made = {}
+    stored = hyper_minhash.stored
+
+    def counting(df, name, *options):
+        out = stored(df, name, *options)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(hyper_minhash, "stored", counting)
+    monkeypatch.setattr(hyper_minhash, "BLOCK", 64)
+    # Five cells, so that links of one component are found in several.
+    monkeypatch.setattr(hyper_minhash, "CELL", 50, raising=False)
+    found = rows_of(hyper_minhash.near_duplicates(table(spark, rows)))
+    assert found == brute_components(rows)
+    assert made["hyper-across"] <= 8 * len(rows), made
+
+
+def test_coarse_registers_give_up_no_pair():
+    """Whatever whole registers keep, registers of four bits keep as well."""
+    draw = np.random.default_rng(9)
+    sets = []
+    for size in (1, 3, 9, 30, 150, 2000):
+        pool = np.unique(draw.integers(0, 1 << 63, 2 * size, dtype=np.uint64) << np.uint64(1))
+        sets += [np.sort(draw.choice(pool, size, replace=False)) for _ in range(5)]
+        sets += [np.sort(np.append(draw.choice(pool[:size], max(1, size - 1 - size // 10), replace=False), pool[-1])) for _ in range(9)]
+    rows = pa.RecordBatch.from_pydict(
+        {"node": list(range(len(sets))), "n": [len(x) for x in sets], "sketch": [hyper_minhash.sketch(x) for x in sets]}
+    )
+    (packed,) = hyper_minhash._coarse(iter([rows, rows.slice(0, 0)]))
+    member = [{"comp": r["node"], "few": True, **r} for r in packed.to_pylist()]
+    lists = pa.array([[], member, None], pa.list_(pa.array(member).type))
+    blocks = pa.RecordBatch.from_arrays([lists.take(pa.array([2])), lists.take(pa.array([1]))], ["some", "others"])
+    kept = {(r["a"], b) for part in hyper_minhash._compare(iter([blocks])) for r in part.to_pylist() for b in r["bs"]}
+    whole = np.stack([np.frombuffer(s, "<u2") for s in rows.column(2).to_pylist()])
+    n = rows.column(1).to_numpy()
+    a, b = np.triu_indices(len(sets), 1)
+    expected = hyper_minhash.likely(whole[a], whole[b], n[a], n[b])[0]
+    pairs = set(zip(a[expected].tolist(), b[expected].tolist()))
+    assert len(pairs) > 20 and pairs <= kept and len(kept) < len(a) / 2
+
+
 def test_likely_keeps_what_is_alike():
     """No pair of likeness 0.8 or a little more is given up, whatever its size; estimates are near."""
     draw = np.random.default_rng(4)
