@@ -9,21 +9,26 @@ Texts that share a band are candidates.  Their likeness is estimated from equal
 the matches that chance makes among registers so compressed, and only a pair that could still
 reach 0.8 (four standard errors off) is verified, by the full sets of both texts.
 
+Bands are as wide as a set's size allows: of two small sets that are alike few registers differ, so
+few and wide bands will do, and short texts do not meet by a single line that they share.
+
 Candidates are compared without forming all pairs.  First each text meets the head of each
-of its bands; its likeliest head is verified, and what is linked forms a component.  A band whose texts all lie in one component needs nothing more.  In the
-others the texts outside the band's largest component are compared with all of the band,
-block by block and in registers of four bits, so that no pair of two components is left out.  Likely
-pairs are kept as lists, and the full sets of their texts meet cell by cell: rows follow the texts, not the pairs.
+of its bands; its likeliest head is verified, and what is linked forms a component.  Texts that
+likely pairs join, through heads or others, are kin.  A band whose texts are all kin needs nothing more; in the
+others the texts outside the band's largest family are compared with all of the band, block by
+block and in registers of four bits, and one likely pair is enough to join two families.  So no likely pair
+lies in two families.  In each, the full sets of the texts outside the largest component meet those of all,
+block by block; what they share is counted by products of matrices.  Rows follow the texts, not the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitestance.llm.common import components, look_up, stored
@@ -33,19 +38,22 @@ SHINGLE = 4
 THRESHOLD = 80
 REGISTER_BITS, MANTISSA_BITS = 7, 10
 REGISTERS = 1 << REGISTER_BITS
-WIDTH = 4
-BANDS = REGISTERS // WIDTH
+# Least sizes of the classes of sets, and how many bands each has: the fewer shingles, the fewer
+# registers can differ and the wider a band may be.
+CLASSES = ((1, 1), (5, 32), (10, 16), (16, 12), (24, 12), (36, 14), (52, 18), (76, 24), (111, 32))
 # An estimate may be off by so many standard errors before a pair is given up.
 ERRORS = 4.0
 # Texts of a band that are compared at once.
 BLOCK = 256
 # Pairs of blocks that are looked at together.
 COMPARED = 1 << 15
-# Texts whose full sets are compared in one group.
-CELL = 512
+# Sets that are compared at once with those of a block, and texts of a block.
+CELL, MOST = 512, 4096
 REMEMBERED = 200_000
-# Shingles of the sets that a task of the verification remembers.
-HELD = 1 << 21
+# Shingles of a block of texts, and of the sets that a task of the verification remembers.
+HELD = 1 << 20
+# A shingle that sets have in one of so many pairs is counted by matrices of so many columns.
+DENSE, COLUMNS = 128, 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(64 - REGISTER_BITS)
@@ -115,20 +123,25 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 
 def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows could reach the threshold, and the estimates.
+    """Which rows could reach the threshold, and the estimates of those that sizes and registers allow.
 
     Sizes and the registers that differ must allow it: each of those holds a shingle that only one
     set has.  Within that the estimate may be off by ERRORS; the fewer shingles the union can
     have, the more of them the registers show and the smaller is the error.
     """
     least = THRESHOLD / 100
-    found, used = estimate(a, b, n, m)
-    sizes = 100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
-    apart = ((a != b).sum(axis=1)) * (100 + THRESHOLD) <= (100 - THRESHOLD) * (n + m)
+    keep = 100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
+    keep &= np.count_nonzero(a != b, axis=1) * (100 + THRESHOLD) <= (100 - THRESHOLD) * (n + m)
+    near, left = np.zeros(len(keep)), np.flatnonzero(keep)
+    if not len(left):
+        return keep, near
+    n, m = n[left], m[left]
+    found, used = estimate(a[left], b[left], n, m)
     union = (n + m) / (1 + least)
     unseen = np.clip((union - used) / np.maximum(union - 1, 1), 0, 1)
     error = np.sqrt(least * (1 - least) / used * unseen) + 1 / (n + m)
-    return sizes & apart & (found >= least - ERRORS * error), found
+    near[left], keep[left] = found, found >= least - ERRORS * error
+    return keep, near
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +230,23 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """``node, band, key`` of every text and each of its bands that is not empty."""
-    zeros = F.unhex(F.lit("0" * 4 * WIDTH))
-    keys = []
-    for i in range(BANDS):
-        band = F.substring("sketch", 2 * WIDTH * i + 1, 2 * WIDTH)
-        keys.append(F.when(band != zeros, F.xxhash64(band, F.lit(i))))
-    return texts.select("node", F.posexplode(F.array(*keys)).alias("band", "key")).where("key is not null")
+    """``node, band, key`` of every text and each of its bands that is not empty.
+
+    A text belongs to the class of its size, and to the next one if a text there may be alike.
+    """
+    classes = []
+    for (low, bands), above in zip(CLASSES, [c[0] for c in CLASSES[1:]] + [1 << 62]):
+        joins = (100 * F.col("n") >= THRESHOLD * low) & (F.col("n") < above)
+        classes.append(F.when(joins, F.struct(F.lit(low).alias("low"), F.lit(bands).alias("bands"))))
+    rows = texts.select("node", "sketch", F.explode(F.array(*classes)).alias("of")).where("of is not null")
+    rows = rows.select("node", "sketch", "of.*").withColumn("band", F.explode(F.expr("sequence(0, bands - 1)")))
+    first, end = (f"({i} * {REGISTERS}) div bands" for i in ("band", "(band + 1)"))
+    band, zeros = (
+        F.expr(f"substring({of}, cast(2 * ({first}) as int) + 1, cast(2 * (({end}) - ({first})) as int))")
+        for of in ("sketch", f"X'{'00' * 2 * REGISTERS}'")
+    )
+    key = F.when(band != zeros, F.xxhash64(band, "band", "low"))
+    return rows.select("node", "band", key.alias("key")).where("key is not null")
 
 
 def _headed(rows: DataFrame) -> DataFrame:
@@ -314,12 +337,41 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from kept()
 
 
-def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Likely pairs of texts that share a band (``met``: node, key) and lie in two components.
+class _Forest:
+    """Which labels are joined so far."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.top(a), self.top(b)
+        self.above[a] = b
+        return a != b
 
-    Rows are ``a, bs``, one for each end of pairs that a task meets, not one for each pair.
+    def top(self, label: int) -> int:
+        above = self.above
+        while (up := above.get(label, label)) != label:
+            above[label] = label = above.get(up, up)
+        return label
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the likely pairs of blocks so many ``a, b`` as join what they all join."""
+    forest = _Forest()
+    for batch in _compare(batches):
+        rows = zip(*(batch.column(c).to_pylist() for c in (0, 1)))
+        found = [(a, b) for a, bs in rows for b in bs if forest.join(a, b)]
+        columns = [pa.array(c, pa.int64()) for c in zip(*found)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+
+def _across(met: DataFrame, kin: DataFrame, texts: DataFrame) -> DataFrame:
+    """Likely pairs ``a, b`` that join what all likely pairs join of texts that share a band and are not yet ``kin``.
+
+    ``met`` has rows (node, key), ``kin`` the node and root of texts that likely pairs join already.
     """
-    labelled = look_up(met, roots, ["node"], ["key"]).select("key", "node", F.coalesce("root", "node").alias("comp"))
+    labelled = look_up(met, kin, ["node"], ["key"]).select("key", "node", F.coalesce("root", "node").alias("comp"))
     labelled = stored(labelled, "hyper-labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     mixed = stored(mixed.select("key"), "hyper-mixed")
@@ -344,80 +396,114 @@ def _across(met: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     large = rows.where(F.col("whole") > BLOCK)
     pairs = blocks(large.where("few"), "rest", "some").join(blocks(large, "whole", "others"), "key")
     pairs = pairs.select("some", "others").unionByName(one.select("others"), allowMissingColumns=True)
-    return pairs.select("some", "others").mapInArrow(_compare, "a bigint, bs array<bigint>")
-
+    return pairs.select("some", "others").mapInArrow(_joining, "a bigint, b bigint")
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64())], ["node"])
-
-
-def _dealt(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows ``a, bs`` as ``cell, a, bs``, a row for each cell of the larger ends."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
-            b = batch.column(1).flatten().to_numpy()
-            order = np.lexsort((b, a, b % cells))
-            a, b, cell = a[order], b[order], b[order] % cells
-            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (cell[1:] != cell[:-1]))) if len(a) else order
-            bs = pa.ListArray.from_arrays(pa.array(np.append(first, len(b)), pa.int32()), pa.array(b, pa.int64()))
-            columns = [pa.array(cell[first], pa.int64()), pa.array(a[first], pa.int64()), bs]
-            yield pa.RecordBatch.from_arrays(columns, ["cell", "a", "bs"])
+def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of ``one`` shares with each of ``other``.
 
-    return run
+    Members that many sets hold are counted by products of matrices, the others one by one.
+    """
+    sizes = np.array([len(s) for s in (*one, *other)])
+    _, member = np.unique(np.concatenate((*one, *other)), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    cut = int(sizes[: len(one)].sum())
+    times, of_other = (np.bincount(x, minlength=member.max() + 1) for x in (member[:cut], member[cut:]))
+    met = times * of_other
+    common = met * DENSE > len(one) * len(other)
+    shared = np.zeros((len(one), len(other)), np.float32)
+    place = np.where(common, np.cumsum(common) - 1, -1)[member]
+    order = np.argsort(place, kind="stable")
+    ends = np.searchsorted(place[order], np.arange(0, int(common.sum()) + COLUMNS, COLUMNS))
+    for lo, hi in zip(ends[:-1], ends[1:]):
+        at = order[lo:hi]
+        if len(at):
+            held = np.zeros((len(sizes), COLUMNS), np.float32)
+            held[row[at], place[at] % COLUMNS] = 1
+            shared += held[: len(one)] @ held[len(one) :].T
+    rare = (met > 0) & ~common
+    left = np.flatnonzero(rare[member[:cut]])
+    by_member = np.argsort(member[cut:], kind="stable")
+    owner = row[cut:][by_member] - len(one)
+    starts = np.cumsum(of_other) - of_other
+    counts = of_other[member[left]]
+    parts = np.searchsorted(np.cumsum(counts), np.arange(0, int(counts.sum()) + COMPARED, COMPARED) + 1)
+    flat = shared.reshape(-1)
+    for lo, hi in zip(parts, np.append(parts[1:], len(left))):
+        n = counts[lo:hi]
+        if len(n):
+            at = np.repeat(starts[member[left[lo:hi]]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            pair = np.repeat(row[left[lo:hi]], n) * len(other) + owner[at]
+            pair, found = np.unique(pair, return_counts=True)
+            flat[pair] += found
+    return shared
 
 
 def _confirm(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links ``a, b`` among ``a, bs, own`` and ``b, other``, less those that others imply."""
-    texts = dict(zip(right.column("b").to_pylist(), right.column("other").to_pylist()))
-    sets: dict[int, np.ndarray] = {}
-    above: dict[int, int] = {}
-
-    def top(node: int) -> int:
-        while (up := above.get(node, node)) != node:
-            above[node] = node = above.get(up, up)
-        return node
-
+    """Links ``a, b`` of texts ``kin, comp, node, text`` on both sides, less those that others imply."""
     found = []
-    for a, lists, text in zip(*(left.column(c).to_pylist() for c in ("a", "bs", "own"))):
-        own = shingles(text)
-        for b in sorted({b for bs in lists for b in bs}):
-            if top(a) == top(b):
-                continue
-            if b not in sets:
-                sets[b] = shingles(texts[b])
-            shared = len(np.intersect1d(own, sets[b], assume_unique=True))
-            if 100 * shared >= THRESHOLD * (len(own) + len(sets[b]) - shared):
-                above[top(a)] = top(b)
-                found.append((a, b))
+    one, other = ({c: t.column(c).to_numpy() for c in ("kin", "comp", "node")} for t in (left, right))
+    texts = [t.column("text").to_pylist() for t in (left, right)]
+    orders = [np.argsort(t["kin"], kind="stable") for t in (one, other)]
+    for kin in np.unique(one["kin"]):
+        i, j = (o[slice(*np.searchsorted(t["kin"][o], [kin, kin + 1]))] for t, o in zip((one, other), orders))
+        if not len(j):
+            continue
+        held = [shingles(texts[1][k]) for k in j]
+        sizes, comp = np.array([len(x) for x in held]), other["comp"][j]
+        forest = _Forest()
+        for lo in range(0, len(i), CELL):
+            some = i[lo : lo + CELL]
+            own = [shingles(texts[0][k]) for k in some]
+            shared = _shared(own, held).astype(np.int64)
+            least = THRESHOLD * (np.array([len(x) for x in own])[:, None] + sizes)
+            x, y = np.nonzero((shared * (100 + THRESHOLD) >= least) & (one["comp"][some][:, None] != comp))
+            pairs = np.stack([one["comp"][some[x]], comp[y]])
+            _, first = np.unique(pairs, axis=1, return_index=True)
+            ends = zip(*(p[first].tolist() for p in (*pairs, one["node"][some[x]], other["node"][j[y]])))
+            found += [(a, b) for of_a, of_b, a, b in ends if forest.join(of_a, of_b)]
     columns = zip(*found) if found else ([], [])
     return pa.table({name: pa.array(c, pa.int64()) for name, c in zip("ab", columns)})
 
 
-def confirmed(lists: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links ``a, b`` that join what the stored pairs ``a, bs`` join whose full sets are alike.
+def _within(kin: DataFrame, roots: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the components (``roots``) of texts that are ``kin``, confirmed on full sets.
 
-    The larger ends are dealt into cells of about CELL texts; a cell's smaller ends come in parts
-    of about as many.  So however many pairs there are among some texts, each text is copied once
-    for each cell or part that it has pairs in.
+    The texts outside the largest component meet all texts that are kin, block by block.  A block
+    holds about HELD shingles, so rows follow the texts and the blocks, not the pairs.  Texts with few
+    kin share the groups of others.
     """
-    used = stored(lists.mapInArrow(_ends, "node bigint").distinct(), "hyper-ends")
-    bodies = _bodies(used, texts, docs)
-    cells = max(1, -(-used.count() // CELL))
-    dealt = lists.mapInArrow(_dealt(cells), "cell bigint, a bigint, bs array<bigint>")
-    dealt = stored(dealt.groupBy("cell", "a").agg(F.collect_list("bs").alias("bs")), "hyper-dealt")
-    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("parts"))
-    parts = stored(parts, "hyper-parts")
-    left = look_up(dealt, parts, ["cell"], ["a"], "inner").withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
-    left = left.join(bodies.withColumnRenamed("node", "a"), "a").select("cell", "part", "a", "bs", F.col("text").alias("own"))
-    right = look_up(bodies.withColumn("cell", F.col("node") % cells), parts, ["cell"], ["node"], "inner")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    right = right.select("cell", "part", F.col("node").alias("b"), F.col("text").alias("other"))
-    both = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
-    return both.applyInArrow(_confirm, "a bigint, b bigint")
+    rows = look_up(kin.withColumnRenamed("root", "kin"), roots, ["node"], ["kin"])
+    rows = rows.select("node", "kin", F.coalesce("root", "node").alias("comp"))
+    rows = stored(rows.join(texts.select("node", "n"), "node"), "hyper-kin")
+    sizes = rows.groupBy("kin", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("load"))
+    groups = sizes.groupBy("kin").agg(
+        F.max(F.struct("size", "comp", "load")).alias("top"), F.sum("size").alias("size"), F.sum("load").alias("load"),
+        F.count("*").alias("comps"),
+    ).where("comps > 1")
+
+    def blocks(size: Column, load: Column) -> Column:
+        return F.ceil(F.greatest(load / HELD, size / MOST))
+
+    groups = groups.select(
+        "kin", F.col("top.comp").alias("top"), "load", blocks(F.col("size"), F.col("load")).alias("blocks"),
+        blocks(F.col("size") - F.col("top.size"), F.col("load") - F.col("top.load")).alias("parts"),
+    )
+    groups = stored(groups, "hyper-kin-groups")
+    bins = 1 + (groups.where("blocks = 1").agg(F.sum("load")).first()[0] or 0) // HELD
+    rows = look_up(rows, groups.drop("load"), ["kin"], ["node"], "inner")
+    rows = stored(rows.withColumn("draw", F.xxhash64("node")), "hyper-kin-rows")
+    rows = rows.join(_bodies(rows.select("node"), texts, docs), "node")
+    one = rows.where("comp <> top").withColumn("part", F.pmod("draw", "parts"))
+    one = one.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    other = rows.withColumn("block", F.pmod("draw", "blocks"))
+    other = other.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    few = F.col("blocks") == 1
+    alone = F.when(few, F.pmod(F.xxhash64("kin"), F.lit(bins))).otherwise(F.col("kin")).alias("cell")
+    fields = [F.col(c).alias(c) for c in ("block", "part", "kin", "comp", "node", "text")]
+    sides = [t.select(few.alias("few"), alone, *fields) for t in (one, other)]
+    left, right = (t.groupBy("few", "cell", "block", "part") for t in sides)
+    return left.cogroup(right).applyInArrow(_confirm, "a bigint, b bigint")
 
 
 def _united(roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -440,16 +526,19 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, root`` of every text that is linked to another."""
     met = _headed(stored(_members(texts), "hyper-bands"))
     pairs = met.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    near = _estimated(stored(pairs, "hyper-pairs"), texts)
+    near = stored(_estimated(stored(pairs, "hyper-pairs"), texts), "hyper-near")
     best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("best")).select("a", "best.b")
     # A pair may be each other's best.
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stored(verified(stored(best, "hyper-best"), texts, docs), "hyper-links")
     roots = stored(components(found, "hyper-components"), "hyper-roots")
-    across = stored(_across(met.select("node", "key"), roots, texts), "hyper-across")
-    if across.isEmpty():
+    kin = stored(components(near.select("a", "b"), "hyper-components"), "hyper-kin-roots")
+    across = stored(_across(met.select("node", "key"), kin, texts), "hyper-across")
+    if not across.isEmpty():
+        kin = stored(_united(kin, across), "hyper-kin-roots")
+    more = stored(_within(kin, roots, texts, docs), "hyper-more")
+    if more.isEmpty():
         return roots
-    more = stored(confirmed(across, texts, docs), "hyper-more")
     return stored(_united(roots, more), "hyper-roots")
 
 

@@ -216,6 +216,87 @@ def test_coarse_registers_give_up_no_pair():
     assert len(pairs) > 20 and pairs <= kept and len(kept) < len(a) / 2
 
 
+def test_short_texts_do_not_meet_by_a_common_line(spark):
+    """Texts that share one line of five shingles, and nothing else, seldom share bands; those alike do."""
+    draw = np.random.default_rng(3)
+    line = draw.integers(0, 1 << 63, 5, dtype=np.uint64) << np.uint64(1)
+    sets = []
+    for size in [14, 20, 33, 50, 70, 100] * 100:
+        own = draw.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(1)
+        sets.append(np.unique(np.append(own, line)))
+    unlike = len(sets)
+    for x in sets[:90]:
+        # Alike by 0.8 or a little more.
+        gone = len(x) // 9
+        new = draw.integers(0, 1 << 63, gone, dtype=np.uint64) << np.uint64(1)
+        sets.append(np.unique(np.append(x[gone:], new)))
+    rows = [(i, len(x), bytearray(hyper_minhash.sketch(x))) for i, x in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "node bigint, n bigint, sketch binary")
+    bands = collections.defaultdict(set)
+    for r in hyper_minhash._members(texts).collect():
+        bands[r.key].add(r.node)
+    met = {p for b in bands.values() for p in itertools.combinations(sorted(b), 2)}
+    assert all((i, unlike + i) in met for i in range(90))
+    assert len([p for p in met if p[1] < unlike]) < 8 * unlike, len(met)
+
+
+def test_bands_of_all_sizes(spark):
+    """Each size has its bands, of all its registers, and pairs of neighbouring classes meet."""
+    draw = np.random.default_rng(2)
+    sets, pairs = [], []
+    for size in (1, 2, 4, 5, 6, 9, 10, 11, 15, 16, 17, 23, 24, 26, 35, 36, 40, 52, 60, 75, 76, 90, 110, 111, 130, 300, 2000):
+        x = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64) << np.uint64(1))
+        # The least subset that is alike.
+        sets += [x, np.sort(draw.permutation(x)[: -(-8 * len(x) // 10)])]
+        pairs.append((len(sets) - 2, len(sets) - 1))
+    rows = [(i, len(x), bytearray(hyper_minhash.sketch(x))) for i, x in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "node bigint, n bigint, sketch binary")
+    bands = collections.defaultdict(set)
+    for r in hyper_minhash._members(texts).collect():
+        bands[r.key].add(r.node)
+    met = {p for b in bands.values() for p in itertools.combinations(sorted(b), 2)}
+    assert met == set(pairs)
+
+
+def test_families_in_many_blocks(spark, monkeypatch):
+    """Texts around one text, many a little less alike than 0.8, in blocks of a few texts; likely pairs stay few rows."""
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    base = draw.choices(words, k=160)
+    rows = []
+    for i in range(260):
+        text = list(base)
+        for at in draw.sample(range(160), draw.randint(1, 6)):
+            text[at] = draw.choice(words)
+        rows.append((i, " ".join(text), "en"))
+    made = {}
+    stored = hyper_minhash.stored
+
+    def counting(df, name, *options):
+        out = stored(df, name, *options)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(hyper_minhash, "stored", counting)
+    monkeypatch.setattr(hyper_minhash, "MOST", 40, raising=False)
+    assert rows_of(hyper_minhash.near_duplicates(table(spark, rows))) == brute_components(rows)
+    assert made["hyper-across"] <= len(rows) // 4, made
+
+
+def test_shared_members_are_counted(monkeypatch):
+    draw = np.random.default_rng(1)
+    for dense, columns, compared in ((1, 7, 10), (20, 64, 1000), (128, 1024, 1 << 15), (10**9, 1, 1)):
+        for name, value in (("DENSE", dense), ("COLUMNS", columns), ("COMPARED", compared)):
+            monkeypatch.setattr(hyper_minhash, name, value)
+        for _ in range(10):
+            pool = np.unique(draw.integers(0, 1 << 63, 60, dtype=np.uint64))
+            one, other = (
+                [np.sort(draw.choice(pool, draw.integers(1, len(pool)), replace=False)) for _ in range(k)] for k in (9, 30)
+            )
+            expected = [[len(np.intersect1d(a, b)) for b in other] for a in one]
+            assert (hyper_minhash._shared(one, other) == expected).all()
+
+
 def test_likely_keeps_what_is_alike():
     """No pair of likeness 0.8 or a little more is given up, whatever its size; estimates are near."""
     draw = np.random.default_rng(4)
