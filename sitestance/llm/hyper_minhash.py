@@ -362,8 +362,9 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _compare(batches):
         rows = zip(*(batch.column(c).to_pylist() for c in (0, 1)))
         found = [(a, b) for a, bs in rows for b in bs if forest.join(a, b)]
-        columns = [pa.array(c, pa.int64()) for c in zip(*found)]
-        yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+        if found:
+            columns = [pa.array(c, pa.int64()) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
 def _across(met: DataFrame, kin: DataFrame, texts: DataFrame) -> DataFrame:

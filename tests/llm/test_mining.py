@@ -283,6 +283,21 @@ def test_families_in_many_blocks(spark, monkeypatch):
     assert made["hyper-across"] <= len(rows) // 4, made
 
 
+def test_joining_pairs_come_once():
+    """Of texts that are all alike, a task gives one pair fewer than there are, however often they meet."""
+    draw = np.random.default_rng(8)
+    base = np.unique(draw.integers(0, 1 << 63, 400, dtype=np.uint64) << np.uint64(1))
+    sketches = [hyper_minhash.sketch(np.delete(base, i)) for i in range(12)]
+    rows = pa.RecordBatch.from_pydict({"node": range(12), "n": [len(base) - 1] * 12, "sketch": sketches})
+    (packed,) = hyper_minhash._coarse(iter([rows]))
+    member = [{"comp": r["node"], "few": True, **r} for r in packed.to_pylist()]
+    lists = pa.array([member, None], pa.list_(pa.array(member).type))
+    blocks = pa.RecordBatch.from_arrays([lists.take(pa.array([1])), lists.take(pa.array([0]))], ["some", "others"])
+    empty = pa.RecordBatch.from_arrays([lists.take(pa.array([1])), lists.take(pa.array([1]))], ["some", "others"])
+    found = [r for part in hyper_minhash._joining(iter([blocks, blocks.slice(0, 0), empty, blocks])) for r in part.to_pylist()]
+    assert len(found) == 11 and {x for r in found for x in r.values()} == set(range(12))
+
+
 def test_shared_members_are_counted(monkeypatch):
     draw = np.random.default_rng(1)
     for dense, columns, compared in ((1, 7, 10), (20, 64, 1000), (128, 1024, 1 << 15), (10**9, 1, 1)):
