@@ -533,10 +533,13 @@ def links(texts: DataFrame, docs: DataFrame) -> DataFrame:
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stored(verified(stored(best, "hyper-best"), texts, docs), "hyper-links")
     roots = stored(components(found, "hyper-components"), "hyper-roots")
-    kin = stored(components(near.select("a", "b"), "hyper-components"), "hyper-kin-roots")
-    across = stored(_across(met.select("node", "key"), kin, texts), "hyper-across")
-    if not across.isEmpty():
-        kin = stored(_united(kin, across), "hyper-kin-roots")
+    # Texts are kin at least to what their likeliest head is linked to.
+    heads = near.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("head"))
+    heads = look_up(heads, roots.withColumnRenamed("node", "head"), ["head"], ["a"])
+    heads = heads.select(F.col("a").alias("node"), F.coalesce("root", "head").alias("root"))
+    alone = roots.join(heads, "node", "left_anti")
+    across = stored(_across(met.select("node", "key"), stored(heads.unionByName(alone), "hyper-heads-of"), texts), "hyper-across")
+    kin = stored(_united(roots, near.select("a", "b").union(across)), "hyper-kin-roots")
     more = stored(_within(kin, roots, texts, docs), "hyper-more")
     if more.isEmpty():
         return roots

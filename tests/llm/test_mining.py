@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sitestance.llm import hyper_minhash, phrases, spelling
+from sitestance.llm import common, hyper_minhash, phrases, spelling
 
 SCHEMA = "doc_id long, text string, lang string"
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -142,6 +142,26 @@ def test_components_are_united_by_their_roots(spark):
         assert found == sorted(expected.collect()), more
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    """Components of chains, trees and repeated edges; stars take no turn."""
+    written = []
+    stored = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, *options: written.append(name) or stored(df, name, *options))
+    draw = random.Random(3)
+    chain = [(i, i + 1) for i in range(20)]
+    mixed = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)]
+    for pairs in ([(1, 2), (3, 1), (4, 5), (2, 1)], chain, mixed, []):
+        group = {x: x for p in pairs for x in p if p[0] != p[1]}
+        for _ in group:
+            for a, b in pairs:
+                if a != b:
+                    group[a] = group[b] = min(group[a], group[b])
+        written.clear()
+        found = common.components(spark.createDataFrame(pairs, "a bigint, b bigint"), "test-components")
+        assert sorted(map(tuple, found.collect())) == sorted(group.items())
+        assert pairs in (chain, mixed) or len(written) == 1
+
+
 def test_hyper_minhash(spark, odd):
     assert rows_of(hyper_minhash.near_duplicates(table(spark, odd))) == brute_components(odd)
     assert rows_of(hyper_minhash.near_duplicates(table(spark, odd[:0]))) == []
