@@ -2,8 +2,8 @@
 
 A document's set holds the hashes of its distinct four-word shingles.  The first seven bits of
 a hash choose one of 128 registers; of the least value in a register the number of leading
-zeros (six bits) and the ten bits after the first one are stored.  Registers are banded in
-fours: two sets of likeness 0.8 share none of the 32 bands once in 2 * 10^7 pairs.
+zeros (six bits) and the ten bits after the first one are stored.  Registers of large sets
+are banded in fours: two of likeness 0.8 share none of the 32 bands once in 2 * 10^7 pairs.
 
 Texts that share a band are candidates.  Their likeness is estimated from equal registers, less
 the matches that chance makes among registers so compressed, and only a pair that could still
